@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality, token_counts, token_output
+from . import mixing, packing, pii, quality, token_counts, token_output, vectors
 
 QUERIES = {
     "op1_token_shards": token_output.op1_token_shards,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_near_duplicate_vectors": vectors.op5_near_duplicate_vectors,
     "op6_quality": quality.op6_quality,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_nearest_vectors": vectors.op8_nearest_vectors,
     "op9_pii": pii.op9_pii,
     "op10_pack_documents": packing.op10_pack_documents,
 }

@@ -228,7 +228,7 @@ class Join:
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         key = ["h", "i", "j"]
-        return rest.select(*columns).groupBy(*key).cogroup(every.select(*columns).groupBy(*key)).applyInArrow(compare, "a long, b long").distinct()
+        return rest.select(*columns).groupBy(*key).cogroup(every.select(*[F.col(c).alias(c) for c in columns]).groupBy(*key)).applyInArrow(compare, "a long, b long").distinct()
 
     def edges(self) -> DataFrame:
         """Links (a, b) between different sets that join all that can be joined: every link that is left out lies within

@@ -105,11 +105,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model:
     counts. The bound is what is collected; scoring reads everything.
     """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")))
-    rows = []
+    there = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct().join(known, "doc_id")
+    chosen = []
     for label in (0, 1):
-        of = texts.join(known.where(F.col("quality") == label), "doc_id")
-        rows += [tuple(r) for r in of.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(per_label).select("quality", "text").collect()]
+        chosen += there.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id")).limit(per_label).select("doc_id", "quality").collect()
+    if not chosen:
+        return fit([])
+    # 2 * per_label ids at most: the texts come to them without a shuffle
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, there.select("doc_id", "quality").schema))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    text_of = {r[0]: r[1] for r in texts.collect()}
+    rows = [(y, text_of[i]) for i, y in chosen]
     return fit(rows)
 
 

@@ -226,8 +226,13 @@ def fit(texts: list[str], steps: int = 300) -> Field | None:
 
 def train(docs: DataFrame, rows: int = 2000) -> Field | None:
     """A field from at most that many documents with a digit or an @, by the order of a hash of the text."""
-    of = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return fit([r[0] for r in of.orderBy(F.xxhash64("text")).limit(rows).collect()])
+    of = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    chosen = of.select("h").distinct().orderBy("h").limit(rows).collect()
+    if not chosen:
+        return None
+    # as many hashes as rows at most; copies of a text are one
+    hashes = F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long"))
+    return fit([r[0] for r in of.join(hashes, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").collect()])
 
 
 def find(text: str, field: Field | None, sure: float = 0.9) -> tuple[list[Span], list[Span]]:

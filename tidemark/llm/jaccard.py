@@ -298,7 +298,7 @@ def keep_one(docs: DataFrame, n: int = 5, ratio: Ratio = (80, 100)) -> DataFrame
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"), F.lit(1).alias("__kept"))
     if not kept.groupBy("__kept_id").count().where("count > 1").isEmpty():
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    kept = kept.select("__kept_id").distinct()
+    kept = broadcast_if_small(kept.select("__kept_id").distinct(), BROADCAST_IDS)
     return docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))
 
 

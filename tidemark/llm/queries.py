@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, pii, quality, token_counts, token_output, vectors
+from . import jaccard, mixing, packing, passages, pii, quality, token_counts, token_output, vectors
 
 QUERIES = {
     "op1_token_shards": token_output.op1_token_shards,
     "op2_jaccard_components": jaccard.op2_jaccard_components,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_repeated_passages": passages.op4_repeated_passages,
     "op5_near_duplicate_vectors": vectors.op5_near_duplicate_vectors,
     "op6_quality": quality.op6_quality,
     "op7_token_counts": token_counts.op7_token_counts,

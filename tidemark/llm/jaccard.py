@@ -99,21 +99,43 @@ class Join:
         that held none stay as they are, as their prefix is the same in the new order.
         """
         first = self.all.join(self.classes.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "n", "prefix", "rare").dropDuplicates(["doc_id"])
-        parts, common = [materialise(first, "prefixes")], np.empty(0, np.uint64)
+        nothing = np.empty(0, np.uint64)
+        parts, common = [(materialise(first, "prefixes"), nothing)], nothing  # with the common ones known when each was made
         for _ in range(self.rounds):
-            new = parts[-1].select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h")).groupBy("h").count().where(F.col("count") > self.crowd)
+            new = parts[-1][0].select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h")).groupBy("h").count().where(F.col("count") > self.crowd)
             # the most frequent ones; what is collected is bounded by max_common numbers
             new = np.array([r[0] for r in new.orderBy(F.desc("count"), "h").limit(max(0, self.max_common - len(common))).select("h").collect()], np.int64)
             if not len(new):
                 break
-            common = np.sort(np.concatenate([common, new.view(np.uint64)]))
-            sent = self.docs.sparkSession.sparkContext.broadcast(common)
-            touched = [p.mapInArrow(functools.partial(_touched, sent), "doc_id long, n long, prefix array<long>, rare int, touched boolean") for p in parts]
-            touched_ids = materialise(functools.reduce(DataFrame.unionByName, touched).where("touched").select("doc_id"), "touched")
-            parts = [t.where("not touched").drop("touched") for t in touched]
+            new = np.sort(new.view(np.uint64))
+            touched_ids = materialise(functools.reduce(DataFrame.unionByName, [self.holding(p, common, new) for p, _ in parts]), "touched")
+            common = np.sort(np.concatenate([common, new]))
             again = rows_of(only(self.docs, touched_ids), self.n, self.ratio, common).select("doc_id", "n", "prefix", "rare").dropDuplicates(["doc_id"])
-            parts.append(materialise(again, "prefixes"))
-        return functools.reduce(DataFrame.unionByName, parts)
+            parts.append((materialise(again, "prefixes"), common))
+        return functools.reduce(DataFrame.unionByName, [self.holding(p, common, None) if len(common) > len(known) else p for p, known in parts])
+
+    def holding(self, rows: DataFrame, without: np.ndarray, new: np.ndarray | None) -> DataFrame:
+        """Rows with none of the elements `without` among their rare ones; with `new`, ids of those that hold one of these."""
+        sent = self.docs.sparkSession.sparkContext.broadcast((without, new))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            without, new = sent.value
+            for b in batches:
+                prefix, rare = b.column("prefix"), b.column("rare").to_numpy(zero_copy_only=False)
+                flat = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                starts = np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False))])
+
+                def hits(those):
+                    hit = np.zeros(len(flat), np.int64)
+                    if len(flat) and len(those):
+                        hit[those[np.minimum(np.searchsorted(those, flat), len(those) - 1)] == flat] = 1
+                    sums = np.concatenate([[0], np.cumsum(hit)])
+                    return sums[starts[:-1] + rare] > sums[starts[:-1]]
+
+                keep = ~hits(without)
+                yield b.filter(pa.array(keep if new is None else keep & hits(new))).select(["doc_id"] if new is not None else ["doc_id", "n", "prefix", "rare"])
+
+        return rows.mapInArrow(run, "doc_id long" if new is not None else "doc_id long, n long, prefix array<long>, rare int")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose whole sets link, as the exact dot product of their rows."""
@@ -254,21 +276,7 @@ class Join:
         return functools.reduce(DataFrame.unionByName, found)
 
 
-def _touched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common = sent.value
-    for b in batches:
-        prefix, rare = b.column("prefix"), b.column("rare").to_numpy(zero_copy_only=False)
-        flat = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        starts = np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False))])
-        hit = np.zeros(len(flat), np.int64)
-        if len(flat):
-            hit[common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat] = 1
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        found = sums[starts[:-1] + rare] > sums[starts[:-1]]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "prefix", "rare")), pa.array(found)], ["doc_id", "n", "prefix", "rare", "touched"])
-
-
-def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000, rounds: int = 6) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000, rounds: int = 3) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, the smallest doc_id that it reaches by links.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z as a-z; a document's set holds its distinct n-word shingles; with fewer

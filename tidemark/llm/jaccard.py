@@ -17,6 +17,8 @@ from .shingles import chunks, shingles
 #: A threshold as (numerator, denominator): intersection / union >= numerator / denominator.
 Ratio = tuple[int, int]
 BROADCAST_IDS = 2_000_000
+#: Cells of a histogram over elements beyond a prefix.
+CELLS = 256
 
 
 def least_overlap(a, b, ratio: Ratio):
@@ -30,6 +32,10 @@ def prefix_length(n: int, ratio: Ratio) -> int:
     return n + 1 - -(-ratio[0] * n // ratio[1]) if n else 0
 
 
+def cells(elements: np.ndarray, times: int = 1) -> np.ndarray:
+    return np.bincount(elements.astype(np.int64), minlength=times * CELLS)
+
+
 def _lists(rows: list[np.ndarray], kind=np.int64) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
@@ -38,13 +44,14 @@ def _lists(rows: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 def rows_of(docs: DataFrame, n: int, ratio: Ratio, common: np.ndarray) -> DataFrame:
     """Rows of the incidence matrix, cut to their prefix: doc_id, n (set size), k1 and k2 (128 bits that stand for the
-    set), prefix, rare. The order of elements is by hash, with the common ones after all others; the first `rare` of the
-    prefix aren't common."""
+    set), prefix, rare, rest. The order of elements is by hash, with the common ones after all others; the first `rare` of
+    the prefix aren't common. Where others are, the prefix holds all rare ones, and rest counts these and the elements beyond the prefix by cells
+    of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in chunks(b.column(1)):
-                sizes, keys, prefixes, rare = [], [], [], []
+                sizes, keys, prefixes, rare, rest = [], [], [], [], []
                 for s in shingles(texts, n):
                     s = np.unique(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -53,16 +60,18 @@ def rows_of(docs: DataFrame, n: int, ratio: Ratio, common: np.ndarray) -> DataFr
                     if len(common):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                         is_common = common[at] == s
-                        own, rest = s[~is_common][:p], s[is_common]
-                        prefixes.append(np.concatenate([own, rest[: p - len(own)]]))
-                        rare.append(len(own))
+                        own, crowd = s[~is_common], s[is_common]
+                        prefixes.append(np.concatenate([own[:p], crowd[: max(0, p - len(own))]]))
+                        rare.append(min(p, len(own)))
+                        rest.append(cells(np.concatenate([own % CELLS, crowd[p - len(own) :] % CELLS + np.uint64(CELLS)]), 2).astype("<u2").tobytes() if len(own) < p else None)
                     else:
                         prefixes.append(s[:p])
-                        rare.append(p)
+                        rare.append(min(p, len(s)))
+                        rest.append(None)
                 k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _lists(prefixes), pa.array(rare, pa.int32())], ["doc_id", "n", "k1", "k2", "prefix", "rare"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _lists(prefixes), pa.array(rare, pa.int32()), pa.array(rest, pa.binary())], ["doc_id", "n", "k1", "k2", "prefix", "rare", "rest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, rare int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, rare int, rest binary")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -92,28 +101,39 @@ class Join:
         self.classes = materialise(classes, "classes")
 
     def prefixes(self) -> DataFrame:
-        """Rows (doc_id, n, prefix, rare) of one document for each set.
+        """Rows (doc_id, n, prefix, rare, rest) of one document for each set.
 
         A shingle that more than `crowd` prefixes hold is common, goes to the end of the order, and the documents whose
         prefix held it get the next ones in its place; what then turns out common follows, until nothing does. Rows
         that held none stay as they are, as their prefix is the same in the new order.
         """
-        first = self.all.join(self.classes.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "n", "prefix", "rare").dropDuplicates(["doc_id"])
+        first = self.all.join(self.classes.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "n", "prefix", "rare", "rest").dropDuplicates(["doc_id"])
         nothing = np.empty(0, np.uint64)
         parts, common = [(materialise(first, "prefixes"), nothing)], nothing  # with the common ones known when each was made
-        for _ in range(self.rounds):
-            new = parts[-1][0].select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h")).groupBy("h").count().where(F.col("count") > self.crowd)
-            # the most frequent ones; what is collected is bounded by max_common numbers
-            new = np.array([r[0] for r in new.orderBy(F.desc("count"), "h").limit(max(0, self.max_common - len(common))).select("h").collect()], np.int64)
+        for turn in range(self.rounds):
+            new = self.crowded(parts[-1][0], len(common))
             if not len(new):
                 break
-            new = np.sort(new.view(np.uint64))
-            touched_ids = materialise(functools.reduce(DataFrame.unionByName, [self.holding(p, common, new) for p, _ in parts]), "touched")
+            touched = self.touched(parts, common, new)
+            if turn:  # documents whose next elements are common as well: all of their elements are counted at once
+                whole = rows_of(only(self.docs, touched), self.n, (0, 1), np.sort(np.concatenate([common, new])))
+                new = np.sort(np.concatenate([new, self.crowded(whole, len(common) + len(new))]))
+                touched = self.touched(parts, common, new)
             common = np.sort(np.concatenate([common, new]))
-            again = rows_of(only(self.docs, touched_ids), self.n, self.ratio, common).select("doc_id", "n", "prefix", "rare").dropDuplicates(["doc_id"])
+            again = rows_of(only(self.docs, touched), self.n, self.ratio, common).select("doc_id", "n", "prefix", "rare", "rest").dropDuplicates(["doc_id"])
             parts.append((materialise(again, "prefixes"), common))
         return functools.reduce(DataFrame.unionByName, [self.holding(p, common, None) if len(common) > len(known) else p for p, known in parts])
 
+    def crowded(self, rows: DataFrame, known: int) -> np.ndarray:
+        """Elements that more than `crowd` of the rows have among their rare ones, sorted; the most frequent ones, where
+        there are more than the bound on what is collected leaves room for."""
+        of = rows.select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h")).groupBy("h").count().where(F.col("count") > self.crowd)
+        found = of.orderBy(F.desc("count"), "h").limit(max(0, self.max_common - known)).select("h").collect()
+        return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+    def touched(self, parts: list[tuple[DataFrame, np.ndarray]], common: np.ndarray, new: np.ndarray) -> DataFrame:
+        return materialise(functools.reduce(DataFrame.unionByName, [self.holding(p, common, new) for p, _ in parts]), "touched")
+
     def holding(self, rows: DataFrame, without: np.ndarray, new: np.ndarray | None) -> DataFrame:
         """Rows with none of the elements `without` among their rare ones; with `new`, ids of those that hold one of these."""
         sent = self.docs.sparkSession.sparkContext.broadcast((without, new))
@@ -133,9 +153,9 @@ class Join:
                     return sums[starts[:-1] + rare] > sums[starts[:-1]]
 
                 keep = ~hits(without)
-                yield b.filter(pa.array(keep if new is None else keep & hits(new))).select(["doc_id"] if new is not None else ["doc_id", "n", "prefix", "rare"])
+                yield b.filter(pa.array(keep if new is None else keep & hits(new))).select(["doc_id"] if new is not None else ["doc_id", "n", "prefix", "rare", "rest"])
 
-        return rows.mapInArrow(run, "doc_id long" if new is not None else "doc_id long, n long, prefix array<long>, rare int")
+        return rows.mapInArrow(run, "doc_id long" if new is not None else "doc_id long, n long, prefix array<long>, rare int, rest binary")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose whole sets link, as the exact dot product of their rows."""
@@ -198,9 +218,9 @@ class Join:
         return found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
     def common_rows(self, rows: DataFrame) -> DataFrame:
-        """Rows (h, doc_id, n, rare, shared): one for each common element that a prefix can't do without."""
-        of = rows.where("rare < size(prefix)").withColumn("shared", F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).withColumn("left", (F.col("n") - F.size("prefix")).cast("long"))
-        return of.select(F.explode("shared").alias("h"), "doc_id", "n", "rare", "left", "shared")
+        """Rows (h, doc_id, n, shared, rest): one for each common element that a prefix can't do without."""
+        of = rows.where("rare < size(prefix)").withColumn("shared", F.slice("prefix", F.col("rare") + 1, F.size("prefix")))
+        return of.select(F.explode("shared").alias("h"), "doc_id", "n", "shared", "rest")
 
     def pivot_pairs(self, lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
         """Candidates (a, b): in every list one document of the largest component stands for it, another in each turn,
@@ -217,9 +237,9 @@ class Join:
         """All candidates (a, b) of different components that share common elements of their prefixes.
 
         In a list only documents outside the largest component need to be compared, with all others. Both sides are cut
-        into tiles by a hash of the id, and every two tiles meet in one group: there the products of the tiles'
-        incidence rows count what each pair shares, a pair is looked at in the list of its first shared element alone,
-        and the size-derived bound discards it or gives it out.
+        into tiles by a hash of the id, and every two tiles meet in one group: there the product of the tiles' incidence
+        rows tells the list of each pair's first shared element, where alone the pair is looked at,
+        and the size-derived bound discards it or gives it out. What two documents share is at most, cell by cell, the fewer of their rare elements and the fewer of their common ones.
         """
         of = lists.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         per = of.groupBy("h", "label").agg(F.count("*").alias("s"))
@@ -229,7 +249,7 @@ class Join:
         spread = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
         rest = of.where("label <> top").withColumn("i", spread("trest")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)))
         every = of.withColumn("j", spread("tall")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("trest") - 1)))
-        columns, ratio = ["h", "i", "j", "doc_id", "n", "rare", "left", "label", "shared"], self.ratio
+        columns, ratio = ["h", "i", "j", "doc_id", "n", "label", "shared", "rest"], self.ratio
 
         def compare(x: pa.Table, y: pa.Table) -> pa.Table:
             a = b = np.empty(0, np.int64)
@@ -241,11 +261,19 @@ class Join:
                 for m, s in ((mx, sx), (my, sy)):
                     for r, elements in enumerate(s):
                         m[r, [place[e] for e in elements if e in place]] = 1
-                dx, dy, nx, ny, rx, ry, lx, ly, cx, cy = (t.column(c).to_numpy() for c in ("doc_id", "n", "rare", "left", "label") for t in (x, y))
-                count, before = mx @ my.T, mx[:, : place[h]] @ my[:, : place[h]].T
-                most = count + np.minimum(rx[:, None], ry[None]) + np.maximum(lx[:, None], ly[None])
-                need = least_overlap(nx[:, None], ny[None], ratio)
-                i, j = np.nonzero((before == 0) & (most >= need) & (cx[:, None] != cy[None]))
+                dx, dy, nx, ny, cx, cy = (t.column(c).to_numpy() for c in ("doc_id", "n", "label") for t in (x, y))
+                gx, gy = (np.stack([np.frombuffer(g, "<u2") for g in t.column("rest").to_pylist()]) for t in (x, y))
+                for g, s in ((gx, sx), (gy, sy)):
+                    g[:, CELLS:] += np.stack([cells(np.array(e, np.int64).view(np.uint64) % CELLS) for e in s]).astype(np.uint16)
+                before = mx[:, : place[h]] @ my[:, : place[h]].T
+                num, den = ratio
+                i, j = np.nonzero((before == 0) & (cx[:, None] != cy[None]) & (den * nx[:, None] >= num * ny[None]) & (den * ny[None] >= num * nx[:, None]))
+                fine = np.zeros(len(i), bool)
+                for lo in range(0, len(i), 16384):
+                    p, q = i[lo : lo + 16384], j[lo : lo + 16384]
+                    most = np.minimum(gx[p], gy[q]).sum(1, dtype=np.int64)
+                    fine[lo : lo + 16384] = most >= least_overlap(nx[p], ny[q], ratio)
+                i, j = i[fine], j[fine]
                 a, b = np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -264,7 +292,7 @@ class Join:
         def labels():
             return materialise(connected_components(functools.reduce(DataFrame.unionByName, found)).select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "labels")
 
-        for turn in range(4):
+        for turn in range(2):
             pairs = materialise(self.pivot_pairs(lists, labels(), turn), "pivots")
             if pairs.isEmpty():
                 break
@@ -276,7 +304,7 @@ class Join:
         return functools.reduce(DataFrame.unionByName, found)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000, rounds: int = 4) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, the smallest doc_id that it reaches by links.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z as a-z; a document's set holds its distinct n-word shingles; with fewer

@@ -13,7 +13,8 @@ from .fixtures import CTES, T0, Tables, rules
 
 QUERIES = {}
 SQL = {}
-NOW = F.timestamp_micros(F.lit(T0 + 10**12))
+def now():
+    return F.timestamp_micros(F.lit(T0 + 10**12))
 
 
 def query(sql: str | None = None):
@@ -259,7 +260,7 @@ def incremental_scan(t):
 
 @query("AND new AS (SELECT path, 'source' AS side, mt, size + 1 AS size FROM src WHERE k % 4 = 0) SELECT path, side, mt AS mtime, size FROM (SELECT path, side, mt, size FROM state WHERE (path, side) NOT IN (SELECT path, side FROM new) UNION ALL SELECT * FROM new) WHERE path NOT IN (SELECT path FROM base WHERE k % 10 = 1)")
 def state_upsert(t):
-    new = t.src().where("k % 4 = 0").select("path", F.lit("source").alias("side"), "mtime", (F.col("size") + 1).alias("size"), F.lit(None).cast("string").alias("checksum"), NOW.alias("last_sync"))
+    new = t.src().where("k % 4 = 0").select("path", F.lit("source").alias("side"), "mtime", (F.col("size") + 1).alias("size"), F.lit(None).cast("string").alias("checksum"), now().alias("last_sync"))
     return state.upsert(t.state(), new, ["path", "side"], t.base().where("k % 10 = 1")).select("path", "side", *micros("mtime"), "size")
 
 
@@ -534,7 +535,7 @@ def bisync_apply_dest(t):
 UNION ALL SELECT path, 'source', s_mt, s_size FROM actions WHERE action = 'RenameConflict' UNION ALL SELECT path, 'dest', d_mt, d_size FROM actions WHERE action = 'RenameConflict')
 SELECT path, side, mt AS mtime, size FROM (SELECT path, side, mt, size FROM state WHERE (path, side) NOT IN (SELECT path, side FROM new) UNION ALL SELECT * FROM new) WHERE path NOT IN (SELECT path FROM actions WHERE action IN ('DeleteFromSource', 'DeleteFromDest'))""")
 def bisync_state(t):
-    return merge.update_state(t.state(), resolved(t, "newer"), NOW, "receiver").select("path", "side", *micros("mtime"), "size")
+    return merge.update_state(t.state(), resolved(t, "newer"), now(), "receiver").select("path", "side", *micros("mtime"), "size")
 
 
 @query(f"""AND {_actions_sql('newer')} SELECT count(*) FILTER (action IN ('CopyToDest', 'RenameConflict')) AS to_dest, count(*) FILTER (action IN ('CopyToSource', 'RenameConflict')) AS to_source, count(*) FILTER (action = 'DeleteFromSource') AS deleted_from_source,
@@ -555,7 +556,7 @@ def bisync_deletion_guard(t):
 
 @query(f"AND {_actions_sql('source')}, n AS (SELECT path FROM src WHERE path NOT IN (SELECT path FROM actions WHERE action IN ('CopyToSource', 'DeleteFromSource')) UNION SELECT path FROM dst WHERE path IN (SELECT path FROM actions WHERE action = 'CopyToSource')) SELECT count(*) AS paths FROM n")
 def bisync_end_to_end(t):
-    return merge.bisync(t.src(), t.dst(), t.state(), NOW, "source", percent=90)[0].agg(F.count("*").alias("paths"))
+    return merge.bisync(t.src(), t.dst(), t.state(), now(), "source", percent=90)[0].agg(F.count("*").alias("paths"))
 
 
 # --- scalar functions

@@ -211,3 +211,16 @@ def test_streams(spark, tables, tmp_path):
     q = sessions.writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination(120)
     assert spark.sql("select * from sessions").count() > 0
+
+
+def test_token_bucket_stream(spark, tmp_path):
+    schema = "key string, seq long, seconds double, bytes double"
+    rows = [(k, i, float(i), 70.0 + i) for k in "abc" for i in range(30)]
+    for lo in (0, 10, 20):  # three files, one to a batch, in this order
+        spark.createDataFrame([r for r in rows if lo <= r[1] < lo + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = watch.token_bucket_stream(stream, 100.0).writeStream.format("memory").queryName("delays").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    got = {(r.key, r.seq): r.delay for r in spark.sql("select * from delays").collect()}
+    want = {(r.key, r.seq): r.delay for r in watch.token_bucket(spark.createDataFrame(rows, schema), 100.0).collect()}
+    assert got == pytest.approx(want)

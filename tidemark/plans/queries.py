@@ -417,7 +417,9 @@ def delta_ratio(t):
     return blocks.delta_ratio(blocks.rolling_delta(*both_sides(t)))
 
 
-@query()
+@query("""AND h AS (SELECT path, hex(encode(content)) AS h, size AS n FROM src WHERE size > 0), b AS (SELECT path, n, h, unnest(range(0, n)) AS i FROM h),
+v AS (SELECT path, n, i, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT AS v FROM b)
+SELECT path, (n + sum((n - i) * v))::BIGINT % 65521 * 65536 + (1 + sum(v))::BIGINT % 65521 AS weak FROM v GROUP BY path, n""")
 def adler32(t):
     return t.src().select("path", blocks.adler32(F.col("content").cast("binary")).alias("weak"))
 
@@ -439,12 +441,12 @@ def data_regions(t):
     return blocks.data_regions(flagged(t))
 
 
-@query()
+@query(f"AND {_BLK.format('b', 'base')} SELECT path, md5(unhex(string_agg(CASE WHEN (k + idx) % 3 = 0 THEN repeat('0', length(h)) ELSE h END, '' ORDER BY idx))) AS checksum, sum(length(h) // 2)::BIGINT AS size FROM b JOIN base USING (path) GROUP BY path")
 def sparse_roundtrip(t):
     table = blocks.block_table(t.base(), 512)
     kept = table.join(flagged(t).where("not is_zero").select("path", "idx"), ["path", "idx"]).select("path", "off", "data")
     sizes = t.base().select("path", F.octet_length("content").cast("long").alias("size"))
-    return blocks.rebuild_sparse(kept, sizes).select("path", F.md5("content").alias("checksum"), F.octet_length("content").alias("size"))
+    return blocks.rebuild_sparse(kept, sizes).select("path", F.md5("content").alias("checksum"), F.octet_length("content").cast("long").alias("size"))
 
 
 @query("SELECT page_id AS k, page_id % 7 IN (0, 1, 4) AS compressed FROM pages")

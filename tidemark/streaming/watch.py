@@ -56,3 +56,23 @@ def token_bucket(df: DataFrame, rate: float) -> DataFrame:
 
     of = df.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("seconds").cast("double").alias("seconds"), F.col("bytes").cast("double").alias("bytes"))
     return of.repartition("key").sortWithinPartitions("key", "seconds", "seq").mapInPandas(run, "key string, seq long, delay double")
+
+
+def token_bucket_stream(stream: DataFrame, rate: float) -> DataFrame:
+    """token_bucket() for a stream: a key's level and clock are kept as state from batch to batch."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        level, clock = state.get if state.exists else (rate, None)
+        for pdf in pdfs:
+            pdf, delays = pdf.sort_values(["seconds", "seq"]), []
+            for at, size in zip(pdf["seconds"], pdf["bytes"]):
+                level, delay = take(level, at if clock is None else clock, at, size, rate)
+                clock = at
+                delays.append(delay)
+            yield pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "delay": delays})
+        if clock is not None:
+            state.update((float(level), float(clock)))
+
+    of = stream.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("seconds").cast("double").alias("seconds"), F.col("bytes").cast("double").alias("bytes"))
+    return of.groupBy("key").applyInPandasWithState(run, "key string, seq long, delay double", "level double, clock double", "append", GroupStateTimeout.NoTimeout)

@@ -154,8 +154,8 @@ def test_sparse_round_trip(tables):
 def test_bloom(spark):
     inside, outside = spark.range(20000).select(F.col("id").cast("string").alias("k")), spark.range(50000, 70000).select(F.col("id").cast("string").alias("k"))
     bloom = blocks.bloom_build(inside, "k", 20000)
-    assert blocks.bloom_filter(inside, "k", bloom).where("not maybe").count() == 0
-    assert blocks.bloom_filter(outside, "k", bloom).where("maybe").count() < 400
+    assert blocks.bloom_filter(inside, "k", bloom, 20000).where("not maybe").count() == 0
+    assert blocks.bloom_filter(outside, "k", bloom, 20000).where("maybe").count() < 400
 
 
 def test_compressibility(spark):

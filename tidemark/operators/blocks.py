@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -225,49 +226,31 @@ def compressibility(content: Column, sample: int = 65536) -> Column:
     return run(F.substring(content.cast("binary"), 1, sample))
 
 
-def bloom_build(df: DataFrame, column: str, n: int, bits_per_key: int = 10) -> bytes:
-    """A Bloom filter of the column's values: about one false positive in a hundred, no false negative. Tasks fill bit
-    arrays that are joined by byte ranges on the executors; the driver gets n * bits_per_key / 8 bytes."""
-    size = max(64, n * bits_per_key) + 7 & ~7
-    span = 65536
-
-    def fill(batches):
-        bits = np.zeros(size // 8, np.uint8)
-        for b in batches:
-            for at in _bloom_places(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), size):
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        parts = [(i, bits[i * span : (i + 1) * span].tobytes()) for i in range(-(-len(bits) // span)) if bits[i * span : (i + 1) * span].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["part", "bits"])
-
-    def either(t: pa.Table) -> pa.Table:
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
-        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    keys = df.select(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(1), column).alias("b"))
-    parts = keys.mapInArrow(fill, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary").collect()
-    bits = bytearray(size // 8)
-    for p in parts:
-        bits[p.part * span : p.part * span + len(p.bits)] = p.bits
-    return bytes(bits)
-
-
-def _bloom_places(a: np.ndarray, b: np.ndarray, size: int, hashes: int = 7):
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(hashes):
-            yield ((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)
-
-
-def bloom_filter(df: DataFrame, column: str, bloom: bytes) -> DataFrame:
-    """df with `maybe`: false only where the value was surely not among those of the filter."""
-    size, sent = len(bloom) * 8, df.sparkSession.sparkContext.broadcast(bloom)
-
-    @F.pandas_udf("boolean")
-    def probe(a: pd.Series, b: pd.Series) -> pd.Series:
-        bits = np.frombuffer(sent.value, np.uint8)
-        hit = np.ones(len(a), bool)
-        for at in _bloom_places(a.to_numpy(), b.to_numpy(), size):
-            hit &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
-        return pd.Series(hit)
-
-    return df.withColumn("maybe", probe(F.xxhash64(column), F.xxhash64(F.lit(1), column)))
+def _bloom_columns(column: str, n: int, bits_per_key: int) -> tuple[Column, list[Column]]:
+    """The 512-bit block of a value, and the bits it sets there as eight words: seven places of nine hash bits each."""
+    value = F.col(column)
+    block = F.pmod(F.xxhash64(F.lit(1), value), F.lit(max(1, -(-n * bits_per_key // 512))))
+    places = [F.shiftrightunsigned(F.xxhash64(value), 9 * i).bitwiseAND(511) for i in range(7)]
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(64)).cast("int"))
+    words = []
+    for w in range(8):
+        of = [F.when(F.floor(p / 64) == w, bit(p)).otherwise(F.lit(0).cast("long")) for p in places]
+        words.append(functools.reduce(lambda x, y: x.bitwiseOR(y), of))
+    return block, words
+
+
+def bloom_build(df: DataFrame, column: str, n: int, bits_per_key: int = 10) -> DataFrame:
+    """A blocked Bloom filter of n values as rows (block, w0 to w7): one aggregate with partial sums, nothing collected.
+    About one false positive in a hundred, no false negative."""
+    block, words = _bloom_columns(column, n, bits_per_key)
+    rows = df.where(F.col(column).isNotNull()).select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)])
+    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)])
+
+
+def bloom_filter(df: DataFrame, column: str, bloom: DataFrame, n: int, bits_per_key: int = 10) -> DataFrame:
+    """df with `maybe`: false only where the value was surely not among the n of the filter."""
+    block, words = _bloom_columns(column, n, bits_per_key)
+    b = bloom.select(F.col("block").alias("__block"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(8)])
+    j = df.join(b, block == F.col("__block"), "left")
+    held = functools.reduce(lambda x, y: x & y, [F.col(f"__w{i}").bitwiseAND(w) == w for i, w in enumerate(words)])
+    return j.select(*df.columns, F.coalesce(held, F.lit(False)).alias("maybe"))

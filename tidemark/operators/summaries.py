@@ -29,7 +29,9 @@ def savings(results: DataFrame) -> DataFrame:
 
 def deletion_guard(plan: DataFrame, dst: DataFrame, percent: int = 50, confirm: int = 1000) -> DataFrame:
     """One row (deletes, dest_rows, refused, needs_confirmation)."""
-    n = plan.agg(F.count_if(F.col("action") == "delete").alias("deletes")).crossJoin(dst.agg(F.count("*").alias("dest_rows")))
+    one = lambda df, a, b: df.select(a.alias("deletes"), b.alias("dest_rows"))
+    rows = one(plan, (F.col("action") == "delete").cast("long"), F.lit(0).cast("long")).unionByName(one(dst, F.lit(0).cast("long"), F.lit(1).cast("long")))
+    n = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("deletes", "dest_rows")])
     return n.withColumns({"refused": F.col("deletes") * 100 > F.col("dest_rows") * percent, "needs_confirmation": F.col("deletes") > confirm})
 
 

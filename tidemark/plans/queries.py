@@ -472,8 +472,8 @@ def compressibility(t):
 @query()
 def bloom_membership(t):
     keys = t.src().select("path")
-    bloom = blocks.bloom_build(keys, "path", keys.count())
-    return blocks.bloom_filter(t.dst().select("path"), "path", bloom)
+    n = keys.count()
+    return blocks.bloom_filter(t.dst().select("path"), "path", blocks.bloom_build(keys, "path", n), n)
 
 
 # --- merges

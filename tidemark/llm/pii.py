@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 #: (kind, start, end) in code points
@@ -273,6 +275,7 @@ def find_pii(docs: DataFrame, field: Field | None) -> DataFrame:
                 kinds = [pa.int64()] * 5 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
@@ -298,6 +301,7 @@ def redact_pii(docs: DataFrame, field: Field | None) -> DataFrame:
     def clean(texts):
         return texts.map(lambda t: t if t is None else redact(t, sum(find(t, field), [])))
 
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", clean(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

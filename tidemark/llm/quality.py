@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 PIECE = 2048
 DICTIONARY = 65536
 #: Bytes added to a text's length where sizes are normalised, so that a few words decide little.
@@ -132,6 +134,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             score = [model.score(x) for x in d]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return of.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -144,6 +147,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         good, bad = (compressor(model.good), compressor(model.bad)) if model.good and model.bad else (None, None)
         return texts.map(lambda t: model.score(difference(t.encode("utf-8", "replace"), good, bad) if t and good else 0.0) >= threshold).astype(bool)
 
+    small_batches(docs.sparkSession)
     return docs.where(good_enough(F.col("text").cast("string")))
 
 

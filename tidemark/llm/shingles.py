@@ -76,7 +76,7 @@ def shingles(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
                 yield shorter[k][a : a + 1]
 
 
-def chunks(column, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(column, most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as UTF-8) of an Arrow string column, about `most` bytes at a time; null as empty."""
     held, size, first = [], 0, 0
     for i, x in enumerate(column):

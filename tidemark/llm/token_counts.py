@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .tokens import library, usual
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -197,13 +198,14 @@ def token_counts(docs: DataFrame, limit: int = 2048, tokenizer: str = "word_bpe_
                     size += len(text)
                 else:
                     out[i] = len(lib.encode(text, add_special_tokens=False).ids)
-                if size > 1 << 20 or i == b.num_rows:
+                if size > 1 << 18 or i == b.num_rows:
                     held = [x for x in held if x[1]]
                     if held:
                         out[[x[0] for x in held]] = count_tokens([x[1] for x in held], tokenizer)
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out), pa.array(out > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return of.withColumn("n_bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long"))).mapInArrow(run, SCHEMA)
 

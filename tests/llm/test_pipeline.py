@@ -35,7 +35,8 @@ def test_columns(stages):
 def test_quality_stage(spark, sf_dir, stages):
     model = quality.train(stages[0], spark.read.parquet(f"{sf_dir}/labels.parquet"))
     good, bad = quality.compressor(model.good), quality.compressor(model.bad)
-    want = {i for i, r in as_rows(stages[0]).items() if model.score(quality.difference(r.text.encode(), good, bad)) >= 0.3}
+    score = lambda t: model.score(quality.difference(t, good, bad), 64 / (len(t) + 64))
+    want = {i for i, r in as_rows(stages[0]).items() if score(r.text.encode()) >= 0.3}
     assert 0 < len(want) < stages[0].count() and set(as_rows(stages[1])) == want
 
 

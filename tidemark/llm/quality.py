@@ -51,33 +51,52 @@ def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdC
     return d / (len(text) + DAMP)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of P(y = 1 | x), by Newton steps; x is expected near unit scale."""
-    a, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+def shortness(text: bytes) -> float:
+    """From 1 for the empty text to 0: how little the text can say against what most texts are."""
+    return DAMP / (len(text) + DAMP)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of P(y = 1 | x), the last for the constant, by Newton steps; columns are expected near unit scale."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (y - p) - ridge * w
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(2), grad)
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(a.shape[1]), grad)
         w = w + np.clip(step, -5, 5)
         if abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 @dataclass
 class Model:
+    """Two dictionaries, and the curve over a text's difference and shortness."""
+
     good: bytes
     bad: bytes
     slope: float
+    short: float
     intercept: float
 
-    def score(self, d: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * d + self.intercept))))
+    def score(self, d: float, short: float) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * d + self.short * short + self.intercept))))
+
+    def scorer(self):
+        """A function that scores a text; a null one counts as empty."""
+        good, bad = (compressor(self.good), compressor(self.bad)) if self.good and self.bad else (None, None)
+
+        def run(text: str | None) -> float:
+            raw = (text or "").encode("utf-8", "replace")
+            return self.score(difference(raw, good, bad) if good else 0.0, shortness(raw))
+
+        return run
 
 
 def fit(rows: list[tuple[int, str]]) -> Model:
-    """From (label, text): dictionaries from all rows, and a logistic curve over differences that each half of the rows
-    got from dictionaries of the other half. With one label or none the score is that label's smoothed share."""
+    """From (label, text): dictionaries from all rows, and a logistic curve over shortness and the differences that each half
+    of the rows got from dictionaries of the other half. With one label or none the score is that label's smoothed share."""
     rows = [(int(y), (t or "").encode("utf-8", "replace")) for y, t in rows]
     share = (sum(y for y, _ in rows) + 1) / (len(rows) + 2)
 
@@ -87,17 +106,18 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     halves = [rows[0::2], rows[1::2]]
     if any(len({y for y, _ in h}) < 2 for h in halves):
         if len({y for y, _ in rows}) < 2:
-            return Model(b"", b"", 0.0, math.log(share / (1 - share)))
+            return Model(b"", b"", 0.0, 0.0, math.log(share / (1 - share)))
         halves = [rows, rows]
-    x, y = [], []
+    x, short, y = [], [], []
     for own, other in (halves, halves[::-1]):
         good, bad = map(compressor, dictionaries(other))
         x += [difference(t, good, bad) for _, t in own]
+        short += [shortness(t) for _, t in own]
         y += [label for label, _ in own]
     x = np.array(x)
     scale = float(x.std()) or 1.0
-    slope, intercept = logistic(x / scale, np.array(y, float))
-    return Model(*dictionaries(rows), slope / scale, intercept)
+    slope, of_short, intercept = logistic(np.column_stack([x / scale, short]), np.array(y, float))
+    return Model(*dictionaries(rows), float(slope) / scale, float(of_short), float(intercept))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model:
@@ -124,14 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model:
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of documents.
 
-    A null text counts as empty, and gets the curve's value at 0. Only the text is looked at. Nothing is shuffled.
+    A null text counts as empty, and gets the curve's value for the shortest. Only the text is looked at. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = (compressor(model.good), compressor(model.bad)) if model.good and model.bad else (None, None)
+        score_of = model.scorer()
         for b in batches:
-            d = [difference(t.encode("utf-8", "replace"), good, bad) if t and good else 0.0 for t in (x.as_py() for x in b.column(2))]
-            score = [model.score(x) for x in d]
+            score = [score_of(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     small_batches(docs.sparkSession)
@@ -144,8 +163,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     @F.pandas_udf("boolean")
     def good_enough(texts):
-        good, bad = (compressor(model.good), compressor(model.bad)) if model.good and model.bad else (None, None)
-        return texts.map(lambda t: model.score(difference(t.encode("utf-8", "replace"), good, bad) if t and good else 0.0) >= threshold).astype(bool)
+        score_of = model.scorer()
+        return texts.map(lambda t: score_of(t) >= threshold).astype(bool)
 
     small_batches(docs.sparkSession)
     return docs.where(good_enough(F.col("text").cast("string")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, parent, stem
-from .state import pivot_state, upsert
+from .state import pivot_state
 
 STRATEGIES = ("newer", "larger", "smaller", "source", "dest", "rename")
 CONFLICTS = ("CreateCreateConflict", "ModifiedBoth", "ModifyDeleteConflict")
@@ -98,16 +98,20 @@ def update_state(state: DataFrame, actions: DataFrame, now, sides: str = "both")
     if sides not in ("both", "receiver"):
         raise ValueError(f"unknown sides {sides}")
 
-    def rows(of, side, size, mtime):
-        return of.select("path", F.lit(side).alias("side"), F.col(mtime).alias("mtime"), F.col(size).alias("size"), F.lit(None).cast("string").alias("checksum"), now.alias("last_sync"))
+    action, renamed = F.col("action"), F.col("action") == "RenameConflict"
+    copies = ["CopyToDest", "CopyToSource"]
+    writes = {"dest": action.isin(*(copies if sides == "both" else copies[:1])) | renamed, "source": action.isin(*(copies if sides == "both" else copies[1:])) | renamed}
+    kept = state.join(actions.select("path", "action"), "path", "left")
+    gone = action.isin("DeleteFromSource", "DeleteFromDest") | F.when(F.col("side") == "dest", writes["dest"]).otherwise(writes["source"])
+    kept = kept.where(~F.coalesce(gone, F.lit(False))).select(*state.columns)
 
-    copied = actions.where(F.col("action").isin("CopyToDest", "CopyToSource"))
-    renamed = actions.where("action = 'RenameConflict'")
-    to_dest, to_source = (copied, copied) if sides == "both" else (copied.where("action = 'CopyToDest'"), copied.where("action = 'CopyToSource'"))
-    new = rows(to_dest, "dest", "winner_size", "winner_mtime").unionByName(rows(to_source, "source", "winner_size", "winner_mtime"))
-    new = new.unionByName(rows(renamed, "source", "s_size", "s_mtime")).unionByName(rows(renamed, "dest", "d_size", "d_mtime"))
-    gone = actions.where(F.col("action").isin("DeleteFromSource", "DeleteFromDest"))
-    return upsert(state, new, ["path", "side"], gone)
+    def row(side, p):
+        of = lambda c: F.when(renamed, F.col(f"{p}_{c}")).otherwise(F.col(f"winner_{c}")).alias(c)
+        return F.when(writes[side], F.struct(F.lit(side).alias("side"), of("mtime"), of("size")))
+
+    new = actions.select("path", F.explode(F.array(row("source", "s"), row("dest", "d"))).alias("r")).where("r is not null")
+    new = new.select("path", "r.side", "r.mtime", "r.size", F.lit(None).cast("string").alias("checksum"), now.alias("last_sync"))
+    return kept.unionByName(new.select(*state.columns))
 
 
 def merge_stats(actions: DataFrame, dry_run: bool = True) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import broadcast_if_small, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
+#: Sources, one narrow row each, that are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,7 +63,7 @@ def mixed_sizes(docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] =
     sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sizes, max_repeat, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = targets.withColumnRenamed("source", "of_source")
+    t = broadcast_if_small(targets.withColumnRenamed("source", "of_source"), BROADCAST_SOURCES)
     joined = sizes.join(t, sizes["source"].eqNullSafe(t["of_source"]))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("doc_id"), rate, seed)).alias("taken"))
 
@@ -74,7 +76,7 @@ def mix_sources(docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] =
     sizes = materialise(docs.select("source", word_count(F.col("text")).alias("size")), "sizes")
     t = source_targets(sizes, max_repeat, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = t.select(F.col("source").alias("__mix_source"), rate.alias("__mix_rate"))
+    t = broadcast_if_small(t.select(F.col("source").alias("__mix_source"), rate.alias("__mix_rate")), BROADCAST_SOURCES)
     joined = docs.join(t, docs["source"].eqNullSafe(F.col("__mix_source")))
     taken = joined.withColumn("__mix_copies", copies(F.col("doc_id"), F.col("__mix_rate"), seed)).where("__mix_copies > 0")
     return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)

@@ -238,8 +238,9 @@ class Join:
 
         In a list only documents outside the largest component need to be compared, with all others. Both sides are cut
         into tiles by a hash of the id, and every two tiles meet in one group: there the product of the tiles' incidence
-        rows tells the list of each pair's first shared element, where alone the pair is looked at,
-        and the size-derived bound discards it or gives it out. What two documents share is at most, cell by cell, the fewer of their rare elements and the fewer of their common ones.
+        rows tells the list of each pair's first shared element, where alone the pair is looked at, and the size-derived
+        bound discards it or gives it out. What two documents share is at most, cell by cell, the fewer of their rare
+        elements and the fewer of their common ones.
         """
         of = lists.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         per = of.groupBy("h", "label").agg(F.count("*").alias("s"))

@@ -268,6 +268,42 @@ def test_passages(spark):
     assert passages.repeated_passages(frame(spark, []).limit(0)).count() == 0
 
 
+def alike_around(a, b, ca, cb, width, low):
+    """Whether any two windows through the anchor, of `width` to twice as many tokens, are similar enough."""
+    for m, n in itertools.product(range(width, 2 * width + 1), repeat=2):
+        for x in range(max(0, ca - m + 1), min(ca, len(a) - m) + 1):
+            for y in range(max(0, cb - n + 1), min(cb, len(b) - n) + 1):
+                one, two = set(a[x : x + m].tolist()), set(b[y : y + n].tolist())
+                if len(one & two) >= low * len(one | two):
+                    return True
+    return False
+
+
+def test_passages_with_an_edit_in_each_copy():
+    wanted = 0
+    for seed in range(60):
+        r = random.Random(seed)
+        passage, sides = [r.randrange(10**6) for _ in range(16)], []
+        for _ in range(2):
+            p, at = list(passage), r.randrange(16)
+            p[at : at + r.randrange(2)] = [r.randrange(10**6, 10**9)] * r.randrange(3)
+            sides.append(np.array([r.randrange(10**6, 10**9) for _ in range(r.randrange(6))] + p + [r.randrange(10**6, 10**9) for _ in range(r.randrange(6))], np.uint32))
+        a, b = sides
+        ca, cb = r.choice([(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]])
+        found, _ = passages.aligned(a, b, [(ca, cb)], 10, 0.8)
+        want = alike_around(a, b, ca, cb, 10, 0.8)
+        assert bool(found) == want, seed
+        wanted += want
+        for xa, ya, xb, yb in found:
+            assert xa <= ca <= ya and xb <= cb <= yb and min(ya - xa, yb - xb) + 1 >= 10
+            assert passages.similar(a[xa : ya + 1], b[xb : yb + 1], 0.8)
+    assert wanted > 30
+    # 50 words with one changed in the middle: 41 of 51 shingles
+    a = np.arange(1000, 1246, dtype=np.uint32)
+    b = np.concatenate([np.arange(100), a[100:121], np.arange(5000, 5005), a[126:146], np.arange(200, 300)]).astype(np.uint32)
+    assert passages.aligned(a, b, [(110, 110)], 46, 0.8)[0] == [(100, 145, 100, 145)]
+
+
 def vector_frame(spark, n=300):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((n, 16))

@@ -304,6 +304,19 @@ def test_passages_with_an_edit_in_each_copy():
     assert passages.aligned(a, b, [(110, 110)], 46, 0.8)[0] == [(100, 145, 100, 145)]
 
 
+def test_short_near_passages_are_met(spark):
+    r = random.Random(12)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(150):
+        p = new(50)
+        texts += [" ".join(new(30) + p + new(30)), " ".join(new(30) + p[:25] + new(1) + p[26:] + new(30))]
+    rows = passages.repeated_passages(frame(spark, texts)).collect()
+    met = {x.doc_id for x in rows if x.start_word <= 32 and x.end_word >= 78}
+    assert len(met) >= 0.98 * len(texts)
+    assert passages.hashes_for(0.8, 0.01) == 10 and (1 - 0.8**2) ** 5 < 0.01 < (1 - 0.8**2) ** 4
+
+
 def vector_frame(spark, n=300):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((n, 16))

@@ -317,6 +317,22 @@ def test_short_near_passages_are_met(spark):
     assert passages.hashes_for(0.8, 0.01) == 10 and (1 - 0.8**2) ** 5 < 0.01 < (1 - 0.8**2) ** 4
 
 
+def test_passages_at_every_place_of_the_first_document(spark):
+    r = random.Random(7)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    footer, later = new(60), [new(60) for _ in range(12)]
+    texts = [" ".join(new(20) + footer + new(40) + footer + new(30) + footer), " ".join(new(50) + footer)]
+    for p in later:  # a fragment too short to count stands before the passage, of which the other has a copy
+        texts += [" ".join(p[:40] + new(60) + p), " ".join(new(10) + p)]
+    found = {(x.doc_id, x.start_word, x.end_word, x.first_doc_id) for x in passages.repeated_passages(frame(spark, texts)).collect()}
+    holds = lambda doc, at: any(d == doc and x <= at and y >= at + 60 for d, x, y, _ in found)
+    assert all(holds(0, at) for at in (20, 120, 210)) and holds(1, 50)
+    assert all(holds(2 + 2 * i, 100) and holds(3 + 2 * i, 10) for i in range(len(later)))
+    p = np.arange(60, dtype=np.uint32)
+    a = np.concatenate([p[:40], np.arange(100, 150), p, np.arange(200, 230), p]).astype(np.uint32)
+    assert sorted(passages.aligned(a, p, [(5, 5)], 46, 0.8)[0]) == [(90, 149, 0, 59), (180, 239, 0, 59)]
+
+
 def vector_frame(spark, n=300):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((n, 16))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -18,24 +19,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number, and of its inverse, modulo 2^64."""
-    out = []
-    for b in (_ODD[0], pow(_ODD[0], -1, 1 << 64)):
-        p = np.full(1 << bits, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-@functools.lru_cache(1)
-def _letters() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64))
+def cut(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each piece data[start:end], the different pieces); pieces are compared byte by byte. They must be in
+    order and not overlap."""
+    if not len(start):
+        return np.empty(0, np.int32), []
+    edges = np.empty(2 * len(start), np.int32)
+    edges[0::2], edges[1::2] = start, end
+    # pieces and what lies between them, by turns
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy()[::2], coded.dictionary.to_pylist()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of every text and the end). Words are `[^\\x20\\x09-\\x0D]+`, A-Z as a-z."""
+    """(64-bit xxHash of every word, first word of every text and the end). Words are `[^\\x20\\x09-\\x0D]+`, A-Z as a-z."""
     joined = b" ".join([*texts, b""]).lower()
     b = np.frombuffer(joined, np.uint8)
     ends_at = np.cumsum([len(t) + 1 for t in texts])
@@ -44,10 +41,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
     start, end = edge[0::2], edge[1::2]  # every text is followed by a space
-    power, inverse = (p[: len(b)] for p in _powers(max(16, (len(b) - 1).bit_length())))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letters()[b] * power, dtype=np.uint64)])
-        h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    number, words = cut(joined, start, end)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[number] if len(words) else np.empty(0, np.uint64)
     return h, np.searchsorted(start, np.concatenate([[0], ends_at]))
 
 

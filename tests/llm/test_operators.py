@@ -290,7 +290,7 @@ def test_passages_with_an_edit_in_each_copy():
             sides.append(np.array([r.randrange(10**6, 10**9) for _ in range(r.randrange(6))] + p + [r.randrange(10**6, 10**9) for _ in range(r.randrange(6))], np.uint32))
         a, b = sides
         ca, cb = r.choice([(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]])
-        found, _ = passages.aligned(a, b, [(ca, cb)], 10, 0.8)
+        found = passages.aligned(a, b, [(ca, cb)], 10, 0.8)
         want = alike_around(a, b, ca, cb, 10, 0.8)
         assert bool(found) == want, seed
         wanted += want
@@ -301,7 +301,7 @@ def test_passages_with_an_edit_in_each_copy():
     # 50 words with one changed in the middle: 41 of 51 shingles
     a = np.arange(1000, 1246, dtype=np.uint32)
     b = np.concatenate([np.arange(100), a[100:121], np.arange(5000, 5005), a[126:146], np.arange(200, 300)]).astype(np.uint32)
-    assert passages.aligned(a, b, [(110, 110)], 46, 0.8)[0] == [(100, 145, 100, 145)]
+    assert passages.aligned(a, b, [(110, 110)], 46, 0.8) == [(100, 145, 100, 145)]
 
 
 def test_short_near_passages_are_met(spark):
@@ -314,7 +314,7 @@ def test_short_near_passages_are_met(spark):
     rows = passages.repeated_passages(frame(spark, texts)).collect()
     met = {x.doc_id for x in rows if x.start_word <= 32 and x.end_word >= 78}
     assert len(met) >= 0.98 * len(texts)
-    assert passages.hashes_for(0.8, 0.01) == 10 and (1 - 0.8**2) ** 5 < 0.01 < (1 - 0.8**2) ** 4
+    assert passages.hashes_for(0.8, 0.01) == 5 and 0.2**5 + 5 * 0.8 * 0.2**4 < 0.01 < 0.2**4 + 4 * 0.8 * 0.2**3
 
 
 def test_passages_at_every_place_of_the_first_document(spark):
@@ -330,7 +330,110 @@ def test_passages_at_every_place_of_the_first_document(spark):
     assert all(holds(2 + 2 * i, 100) and holds(3 + 2 * i, 10) for i in range(len(later)))
     p = np.arange(60, dtype=np.uint32)
     a = np.concatenate([p[:40], np.arange(100, 150), p, np.arange(200, 230), p]).astype(np.uint32)
-    assert sorted(passages.aligned(a, p, [(5, 5)], 46, 0.8)[0]) == [(90, 149, 0, 59), (180, 239, 0, 59)]
+    assert sorted(passages.aligned(a, p, [(5, 5)], 46, 0.8)) == [(90, 149, 0, 59), (180, 239, 0, 59)]
+
+
+def test_compact_windows():
+    rng, width = np.random.default_rng(1), 8
+    for _ in range(20):
+        first = np.concatenate([[0], np.cumsum(rng.integers(0, 40, 5))])
+        tokens = rng.integers(0, 60, first[-1]).astype(np.uint64)
+        got = set(zip(*(c.tolist() for c in passages.compact_windows(tokens, first, width, 2))))
+        want = set()
+        for f, d in itertools.product(range(2), range(5)):
+            t = tokens[first[d] : first[d + 1]]
+            seed = np.uint64(0x9E3779B97F4A7C15 * (f + 1) % (1 << 64))
+            with np.errstate(over="ignore"):
+                sig = passages.mix(passages.mix(t) + seed).tolist()
+                v = [(x >> 20, i) for i, x in enumerate(passages.mix(t + seed).tolist())]
+            for i in range(len(t)):
+                for j in range(i + width - 1, len(t)):
+                    c = min(v[i : j + 1])[1]
+                    low = max([k + 1 for k in range(c) if v[k] < v[c]], default=0)
+                    high = min([k - 1 for k in range(c + 1, len(t)) if v[k] < v[c]], default=len(t) - 1)
+                    want.add((d, sig[c], c, low, high))
+        assert got == want
+
+
+def test_meeting_windows(spark):
+    r = random.Random(3)
+    rows = []
+    for doc in range(12):
+        for f in range(3):
+            for place in sorted(r.sample(range(60), r.randrange(8))):
+                low, high = max(0, place - r.randrange(12)), place + r.randrange(12)
+                rows.append((doc, f * 1000 + r.randrange(1000), place, low, high))
+    got = {(x.doc_id, x.sig, x.place) for x in passages.meeting_windows(spark.createDataFrame(rows, "doc_id long, sig long, place int, low int, high int"), 10).collect()}
+
+    def meet(x, y):
+        return x[0] == y[0] and x[1] != y[1] and any(max(x[3], y[3]) <= i <= min(x[2], y[2]) and max(x[2], y[2]) <= i + 9 <= min(x[4], y[4]) for i in range(80))
+
+    assert got == {(x[0], x[1], x[2]) for x in rows if any(meet(x, y) for y in rows)}
+    assert 5 < len(got) < len(rows)
+
+
+def test_neighbours(spark):
+    r = random.Random(4)
+    rows = [(r.randrange(6), r.randrange(4), r.randrange(9), i) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {tuple(x) for x in passages.neighbours(spark.createDataFrame(rows, "sig long, near long, doc_id long, place int")).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows.sort()
+    assert got == {(y[2], y[3], x[2], x[3]) for x, y in itertools.pairwise(rows) if x[0] == y[0] and x[2] != y[2]}
+
+
+def test_passages_against_all_windows(spark):
+    """Every document of which some 14 words are in another, exactly or with 0.8 of the shingles of both."""
+    r = random.Random(8)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    bank, texts = [new(18) for _ in range(25)], []
+    for i in range(150):
+        p = list(bank[r.randrange(25)])
+        if i % 2:
+            p[r.randrange(1, 17) if i % 4 == 1 else 0] = "z" + str(i)
+        cut = r.randrange(9)
+        texts.append(new(r.randrange(12)) + p[cut // 3 : len(p) - cut // 2] + new(r.randrange(12)))
+    width, sets = 10, []
+    for t in texts:
+        s = [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+        sets.append([(i, n, frozenset(s[i : i + n])) for n in range(width, width + 5) for i in range(len(s) - n + 1)])
+    of = {}
+    for d, windows in enumerate(sets):
+        for w in windows:
+            for token in w[2]:
+                of.setdefault(token, set()).add(d)
+    want = set()
+    for d, windows in enumerate(sets):
+        near = set().union(*(of[t] for w in windows for t in w[2])) - {d} if windows else set()
+        if any(len(w[2] & v[2]) >= 0.8 * len(w[2] | v[2]) for e in near for w in windows for v in sets[e]):
+            want.add(d)
+    found = passages.repeated_passages(frame(spark, [" ".join(t) for t in texts]), min_words=14)
+    got = {x.doc_id for x in found.collect()}
+    assert len(want) > 60 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_long_ids_and_odd_columns(spark):
+    big = [2**63 - 1, -(2**63), 2**63 - 2, 4 * 10**18, -(2**62), 5]
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, text if k else None, "x", "s", k, 0, "l", 0) for k, i in enumerate(big)], DOCS)
+    docs = docs.unionByName(docs).withColumns({"sig": F.lit(1), "place": F.lit(""), "__mix_rate": F.lit(1), "k1": F.lit("k"), "component_id": F.lit(3)})
+    rows = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert rows == {i: -(2**63) if i == -(2**63) or k else i for k, i in enumerate(big)}
+    assert {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in passages.repeated_passages(docs).collect()} == {(i, 0, 80, -(2**63)) for i in big[1:]}
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([big[0], -(2**63)])
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_are_told_apart(spark, n):
+    docs = frame(spark, [thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n)])
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    want = {i: len(library("word_bpe_49k.json").encode(r.text, add_special_tokens=False).ids) for i, r in enumerate(docs.collect())}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == want
 
 
 def vector_frame(spark, n=300):

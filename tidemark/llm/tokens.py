@@ -40,7 +40,7 @@ def library(name: str):
     return t
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -55,9 +55,9 @@ class ByteBpe:
 
         with open(path(name), encoding="utf-8") as f:
             j = json.load(f)
-        byte_of = _byte_of()
+        named = byte_of()
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in k): v for k, v in j["model"]["vocab"].items() if k not in self.special}
+        ranks = {bytes(named[c] for c in k): v for k, v in j["model"]["vocab"].items() if k not in self.special}
         import public_tokenizers
 
         self._fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, connected_components, materialise
+from .shared import broadcast_if_small, connected_components, materialise, small_enough
 from .shingles import chunks, shingles
 
 #: A threshold as (numerator, denominator): intersection / union >= numerator / denominator.
@@ -42,6 +42,19 @@ def _lists(rows: list[np.ndarray], kind=np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(kind)))
 
 
+ROW = "doc_id long, n long, k1 long, k2 long, prefix array<long>, rare int, rest binary"
+
+
+def cut_row(own: np.ndarray, crowd: np.ndarray, ratio: Ratio) -> tuple[np.ndarray, int, bytes | None]:
+    """(prefix, rare, rest) of a set's rare and common elements, both sorted."""
+    p = prefix_length(len(own) + len(crowd), ratio)
+    if len(own) >= p:
+        return own[:p], p, None
+    beyond = crowd[p - len(own) :]
+    rest = cells(np.concatenate([own % CELLS, beyond % CELLS + np.uint64(CELLS)]), 2)
+    return np.concatenate([own, crowd[: p - len(own)]]), len(own), rest.astype("<u4").tobytes()
+
+
 def rows_of(docs: DataFrame, n: int, ratio: Ratio, common: np.ndarray) -> DataFrame:
     """Rows of the incidence matrix, cut to their prefix: doc_id, n (set size), k1 and k2 (128 bits that stand for the
     set), prefix, rare, rest. The order of elements is by hash, with the common ones after all others; the first `rare` of
@@ -51,27 +64,57 @@ def rows_of(docs: DataFrame, n: int, ratio: Ratio, common: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in chunks(b.column(1)):
-                sizes, keys, prefixes, rare, rest = [], [], [], [], []
+                sizes, keys, cut = [], [], []
                 for s in shingles(texts, n):
                     s = np.unique(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    p = prefix_length(len(s), ratio)
                     sizes.append(len(s))
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        is_common = common[at] == s
-                        own, crowd = s[~is_common], s[is_common]
-                        prefixes.append(np.concatenate([own[:p], crowd[: max(0, p - len(own))]]))
-                        rare.append(min(p, len(own)))
-                        rest.append(cells(np.concatenate([own % CELLS, crowd[p - len(own) :] % CELLS + np.uint64(CELLS)]), 2).astype("<u2").tobytes() if len(own) < p else None)
-                    else:
-                        prefixes.append(s[:p])
-                        rare.append(min(p, len(s)))
-                        rest.append(None)
+                    is_common = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+                    cut.append(cut_row(s[~is_common], s[is_common], ratio))
                 k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                prefixes, rare, rest = zip(*cut)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _lists(prefixes), pa.array(rare, pa.int32()), pa.array(rest, pa.binary())], ["doc_id", "n", "k1", "k2", "prefix", "rare", "rest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, rare int, rest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, ROW)
+
+
+def rows_joined(docs: DataFrame, n: int, ratio: Ratio, common: DataFrame) -> DataFrame:
+    """rows_of() with the common elements as a table (h) of any size, which meets the documents' elements in a join."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in chunks(b.column(1)):
+                rows = [np.unique(s) for s in shingles(texts, n)]
+                keys = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in rows)
+                k = np.frombuffer(keys, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(k[:, 0]), pa.array(k[:, 1]), _lists(rows)], ["doc_id", "k1", "k2", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part, cut, sizes = b.slice(lo, 256), [], []
+                for own, crowd in zip(part.column("own"), part.column("crowd")):
+                    own, crowd = (np.sort(x.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for x in (own, crowd))
+                    sizes.append(len(own) + len(crowd))
+                    cut.append(cut_row(own, crowd, ratio))
+                prefixes, rare, rest = zip(*cut)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), part.column("k1"), part.column("k2"), _lists(prefixes), pa.array(rare, pa.int32()), pa.array(rest, pa.binary())], ["doc_id", "n", "k1", "k2", "prefix", "rare", "rest"])
+
+    of = docs.select("doc_id", "text").mapInArrow(elements, "doc_id long, k1 long, k2 long, h array<long>").select("doc_id", "k1", "k2", F.explode("h").alias("h"))
+    marked = of.join(common.select("h", F.lit(True).alias("common")), "h", "left")
+    own, crowd = (F.collect_list(F.when(c, F.col("h"))) for c in (F.col("common").isNull(), F.col("common").isNotNull()))
+    return marked.groupBy("doc_id", "k1", "k2").agg(own.alias("own"), crowd.alias("crowd")).mapInArrow(run, ROW)
+
+
+class Known:
+    """A table (h) of common elements, in memory too where it has no more rows than the bound."""
+
+    def __init__(self, table: DataFrame, most: int):
+        self.table, self.most = table, most
+        self.array = np.sort(np.array([r[0] for r in table.collect()], np.int64).view(np.uint64)) if small_enough(table, most) else None
+
+    def both(self, more: "Known") -> "Known":
+        return Known(materialise(self.table.unionByName(more.table), "common"), self.most)
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -94,48 +137,55 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 class Join:
     """One run of the join over distinct sets."""
 
-    def __init__(self, docs: DataFrame, n: int, ratio: Ratio, crowd: int, max_common: int, rounds: int):
-        self.docs, self.n, self.ratio, self.crowd, self.max_common, self.rounds = docs, n, ratio, crowd, max_common, rounds
+    def __init__(self, docs: DataFrame, n: int, ratio: Ratio, crowd: int, max_common: int):
+        self.docs, self.n, self.ratio, self.crowd, self.max_common = docs, n, ratio, crowd, max_common
         self.all = materialise(rows_of(docs, n, ratio, np.empty(0, np.uint64)), "rows")
         classes = self.all.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
         self.classes = materialise(classes, "classes")
 
+    def rows(self, docs: DataFrame, ratio: Ratio, common: Known) -> DataFrame:
+        found = rows_of(docs, self.n, ratio, common.array) if common.array is not None else rows_joined(docs, self.n, ratio, common.table)
+        return found.select("doc_id", "n", "prefix", "rare", "rest").dropDuplicates(["doc_id"])
+
     def prefixes(self) -> DataFrame:
         """Rows (doc_id, n, prefix, rare, rest) of one document for each set.
 
         A shingle that more than `crowd` prefixes hold is common, goes to the end of the order, and the documents whose
         prefix held it get the next ones in its place; what then turns out common follows, until nothing does. Rows
-        that held none stay as they are, as their prefix is the same in the new order.
+        that held none stay as they are, as their prefix is the same in the new order. So at the end no list of a rare
+        element has more than `crowd` rows, however many elements are common.
         """
         first = self.all.join(self.classes.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "n", "prefix", "rare", "rest").dropDuplicates(["doc_id"])
-        nothing = np.empty(0, np.uint64)
-        parts, common = [(materialise(first, "prefixes"), nothing)], nothing  # with the common ones known when each was made
-        for turn in range(self.rounds):
-            new = self.crowded(parts[-1][0], len(common))
-            if not len(new):
+        common = Known(self.docs.sparkSession.createDataFrame([], "h long"), self.max_common)
+        parts, turn = [(materialise(first, "prefixes"), 0)], 0  # with the turn that each was made in
+        while True:
+            new = self.crowded(parts[-1][0])
+            if new.table.isEmpty():
                 break
             touched = self.touched(parts, common, new)
             if turn:  # documents whose next elements are common as well: all of their elements are counted at once
-                whole = rows_of(only(self.docs, touched), self.n, (0, 1), np.sort(np.concatenate([common, new])))
-                new = np.sort(np.concatenate([new, self.crowded(whole, len(common) + len(new))]))
+                new = new.both(self.crowded(self.rows(only(self.docs, touched), (0, 1), common.both(new))))
                 touched = self.touched(parts, common, new)
-            common = np.sort(np.concatenate([common, new]))
-            again = rows_of(only(self.docs, touched), self.n, self.ratio, common).select("doc_id", "n", "prefix", "rare", "rest").dropDuplicates(["doc_id"])
-            parts.append((materialise(again, "prefixes"), common))
-        return functools.reduce(DataFrame.unionByName, [self.holding(p, common, None) if len(common) > len(known) else p for p, known in parts])
-
-    def crowded(self, rows: DataFrame, known: int) -> np.ndarray:
-        """Elements that more than `crowd` of the rows have among their rare ones, sorted; the most frequent ones, where
-        there are more than the bound on what is collected leaves room for."""
+            common, turn = common.both(new), turn + 1
+            parts.append((materialise(self.rows(only(self.docs, touched), self.ratio, common), "prefixes"), turn))
+        return functools.reduce(DataFrame.unionByName, [self.holding(p, common, None) if made < turn else p for p, made in parts])
+
+    def crowded(self, rows: DataFrame) -> Known:
+        """Elements that more than `crowd` of the rows have among their rare ones."""
         of = rows.select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h")).groupBy("h").count().where(F.col("count") > self.crowd)
-        found = of.orderBy(F.desc("count"), "h").limit(max(0, self.max_common - known)).select("h").collect()
-        return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+        return Known(materialise(of.select("h"), "crowded"), self.max_common)
 
-    def touched(self, parts: list[tuple[DataFrame, np.ndarray]], common: np.ndarray, new: np.ndarray) -> DataFrame:
+    def touched(self, parts: list[tuple[DataFrame, int]], common: Known, new: Known) -> DataFrame:
         return materialise(functools.reduce(DataFrame.unionByName, [self.holding(p, common, new) for p, _ in parts]), "touched")
 
-    def holding(self, rows: DataFrame, without: np.ndarray, new: np.ndarray | None) -> DataFrame:
+    def holding(self, rows: DataFrame, without_of: Known, new_of: Known | None) -> DataFrame:
         """Rows with none of the elements `without` among their rare ones; with `new`, ids of those that hold one of these."""
+        if without_of.array is None or (new_of is not None and new_of.array is None):
+            of = rows.select("doc_id", F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h"))
+            ids = lambda table: of.join(table, "h", "left_semi").select("doc_id").distinct()
+            kept = rows.join(ids(without_of.table), "doc_id", "left_anti")
+            return kept.select("doc_id", "n", "prefix", "rare", "rest") if new_of is None else kept.join(ids(new_of.table), "doc_id", "left_semi").select("doc_id")
+        without, new = without_of.array, None if new_of is None else new_of.array
         sent = self.docs.sparkSession.sparkContext.broadcast((without, new))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +313,9 @@ class Join:
                     for r, elements in enumerate(s):
                         m[r, [place[e] for e in elements if e in place]] = 1
                 dx, dy, nx, ny, cx, cy = (t.column(c).to_numpy() for c in ("doc_id", "n", "label") for t in (x, y))
-                gx, gy = (np.stack([np.frombuffer(g, "<u2") for g in t.column("rest").to_pylist()]) for t in (x, y))
+                gx, gy = (np.stack([np.frombuffer(g, "<u4") for g in t.column("rest").to_pylist()]) for t in (x, y))
                 for g, s in ((gx, sx), (gy, sy)):
-                    g[:, CELLS:] += np.stack([cells(np.array(e, np.int64).view(np.uint64) % CELLS) for e in s]).astype(np.uint16)
+                    g[:, CELLS:] += np.stack([cells(np.array(e, np.int64).view(np.uint64) % CELLS) for e in s]).astype(np.uint32)
                 before = mx[:, : place[h]] @ my[:, : place[h]].T
                 num, den = ratio
                 i, j = np.nonzero((before == 0) & (cx[:, None] != cy[None]) & (den * nx[:, None] >= num * ny[None]) & (den * ny[None] >= num * nx[:, None]))
@@ -305,7 +355,7 @@ class Join:
         return functools.reduce(DataFrame.unionByName, found)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000, rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, the smallest doc_id that it reaches by links.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z as a-z; a document's set holds its distinct n-word shingles; with fewer
@@ -314,11 +364,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), cr
     one document; a null doc_id links with nothing.
 
     The product of the documents' incidence rows is taken in blocks of n-grams, over prefixes whose length follows from
-    the set size (see Join): no pair that links is lost, whatever crowd, max_common and rounds are; these only move
-    frequent n-grams to the end of the order. Memory: max_common numbers of 8 bytes on the driver and in each task.
+    the set size (see Join): no pair that links is lost, whatever crowd and max_common are. `crowd` moves frequent n-grams
+    to the end of the order. Up to max_common of these are told to the tasks as numbers of 8 bytes; more meet the documents'
+    n-grams in a join. An empty table gives no rows; other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    join = Join(docs.where("doc_id is not null"), n, ratio, crowd, max_common, rounds)
+    join = Join(docs.where("doc_id is not null"), n, ratio, crowd, max_common)
     edges = join.edges()
     labels = connected_components(edges)
     reps = join.classes.join(labels, F.col("doc_id") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id"))
@@ -340,4 +391,5 @@ def keep_one(docs: DataFrame, n: int = 5, ratio: Ratio = (80, 100)) -> DataFrame
 
 
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_components() of all documents: four words, a similarity of 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -50,6 +50,21 @@ def test_rule_errors():
     assert glob_to_regex("**/a?[!x].c") == r"(?s)^(?:.*/)?a.[^x]\.c$"
 
 
+def test_named_templates(spark, tmp_path):
+    (tmp_path / "rust.rules").write_text("- target/\n")
+    got = filters.load_rules(spark, templates=["rust", str(tmp_path / "rust.rules")], template_dir=str(tmp_path))
+    assert [(r.include, r.pattern) for r in got] == [(False, "target/")] * 2
+
+
+def test_ignored_directories(spark):
+    df = spark.createDataFrame([("build", False), ("x/build", True), ("x/build/o", False), ("a/b", False), ("c/a/b", True), ("!odd", False)], "path string, is_dir boolean")
+    left = lambda *rules: {r.path for r in filters.apply_ignore(df, [("", r) for r in rules]).collect()}
+    assert left("build/") == {"build", "a/b", "c/a/b", "!odd"}
+    assert left("build") == {"a/b", "c/a/b", "!odd"}
+    assert left("c/a/b/", "a/b/") == {"build", "x/build", "x/build/o", "a/b", "!odd"}
+    assert "!odd" in left("*", "!!odd") and left("*", "!!odd") == {"!odd"}
+
+
 def test_rule_order(spark, tmp_path):
     (tmp_path / "inc").write_text("*.txt\n# note\n\n")
     (tmp_path / "ign").write_text("- *.o\n+ *.c\n")
@@ -80,6 +95,64 @@ def test_a_plan_leads_to_no_plan(tables):
     assert compare.verify_summary(compare.verify(summed(src), summed(exact))).first()["exit_status"] == 0
 
 
+@pytest.mark.parametrize("delete", [True, False])
+def test_one_join_and_a_stored_plan_agree(tables, delete):
+    src, dst = tables.src().select("path", "size", "mtime", "is_dir", "content"), tables.dst()
+    plan = compare.plan_sync(src, dst, delete=delete)
+    two = compare.plan_oneway(src, dst).unionByName(compare.plan_deletes(src, dst)) if delete else compare.plan_oneway(src, dst)
+    assert sorted(plan.collect()) == sorted(two.select(*plan.columns).collect(), key=lambda r: r)
+    one, other = compare.synchronise(src, dst, delete=delete), compare.apply_plan(src, dst, plan)
+    assert one.count() == other.count() and one.exceptAll(other.select(*one.columns)).isEmpty()
+
+
+def exchanges(df):
+    """Shuffles and joins of the plan, without broadcasts and re-planning."""
+    spark = df.sparkSession
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    text = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    return len([x for x in text.splitlines() if " Exchange " in x]), text.count("Join ")
+
+
+def test_plans_move_each_side_once(tables):
+    src, dst = tables.src(), tables.dst()
+    assert exchanges(compare.plan_sync(src, dst)) == exchanges(compare.synchronise(src, dst)) == (2, 1)
+    assert exchanges(blocks.block_diff(src, dst, 512)) == exchanges(blocks.verify_blocks(src, dst, 512)) == exchanges(blocks.change_ratio(src, dst, 512)) == (2, 1)
+    plan = src.select("path", F.lit("skip").alias("action"))
+    assert exchanges(compare.apply_plan(src, dst, plan)) == (1, 0)
+
+
+def test_unknown_sizes_are_there(spark):
+    kind = "path string, size long, mtime timestamp, is_dir boolean"
+    src = spark.createDataFrame([("a", None, None, False), ("b", None, None, False), ("c", 5, None, False)], kind)
+    dst = spark.createDataFrame([("a", None, None, False), ("c", None, None, False), ("d", None, None, False)], kind)
+    state = spark.createDataFrame([(p, s, None, None, None, None) for p in "abcd" for s in ("source", "dest")], "path string, side string, mtime timestamp, size long, checksum string, last_sync timestamp")
+    assert {(r.path, r.change_type) for r in merge.classify(src, dst, state).collect()} == {("b", "DeletedFromDest"), ("c", "ModifiedInSource"), ("d", "DeletedFromSource")}
+    assert {(r.path, r.change_type) for r in merge.classify(src, dst, state.limit(0)).collect()} == {("b", "NewInSource"), ("c", "CreateCreateConflict"), ("d", "NewInDest")}
+
+
+def test_long_chains_of_links_are_no_loops(spark):
+    rows = [(f"l{i}", f"l{i + 1}", True) for i in range(70)] + [("l70", None, False), ("x", "y", True), ("y", "z", True), ("z", "y", True), ("s", "s", True)]
+    df = spark.createDataFrame(rows, "path string, symlink_target string, is_symlink boolean")
+    assert {r.path for r in compare.symlink_loops(df).collect()} == {"x", "y", "z", "s"}
+    assert compare.symlink_loops(df.limit(0)).count() == 0
+
+
+def test_repeated_cache_rows(spark):
+    df = spark.sql("select 'a' path, 1L size, timestamp'2024-01-01' mtime")
+    cache = df.selectExpr("*", "'md5' checksum_type", "explode(array('y', 'x')) checksum")
+    assert [(r.checksum, r.from_cache) for r in state.with_checksum(df, cache, "md5", F.lit("new")).collect()] == [("x", True)]
+
+
+def test_upserts_are_repeatable(spark):
+    kept = spark.createDataFrame([("a", "source", 1)], "path string, side string, size long")
+    new = spark.createDataFrame([("a", "source", 2), ("a", "source", 3)], kept.schema)
+    assert {tuple(r) for n in (1, 2, 3) for r in state.upsert(kept, new.repartition(n), ["path", "side"]).collect()} == {("a", "source", 3)}
+
+
 @pytest.mark.parametrize("strategy", merge.STRATEGIES)
 def test_a_second_merge_finds_nothing(tables, strategy):
     now = F.timestamp_micros(F.lit(T0))
@@ -138,6 +211,29 @@ def test_delta():
         assert [(op, d if op == "data" else off) for op, off, size, d in blocks.delta(source, base, width)] == slow_delta(source, base, width)
 
 
+def test_delta_in_pieces():
+    r = random.Random(4)
+    base = bytes(r.randrange(3) for _ in range(3000))
+    source = base[100:900] + b"new" + base[1500:] + base[:77]
+    whole = list(blocks.delta(source, base, 16))
+    assert all(list(blocks.delta(source, base, 16, piece)) == whole for piece in (1, 7, 16, 100, 2000))
+
+
+def test_stored_deltas(spark, tables, tmp_path):
+    src, dst = tables.src().select("path", "content"), tables.dst().select("path", "content")
+    ops = blocks.rolling_delta(src, dst)
+    blocks.write_delta(ops, str(tmp_path / "d"))
+    back = blocks.apply_delta(dst, blocks.read_delta(spark, str(tmp_path / "d"))).select("path", F.col("content").cast("string").alias("back"))
+    assert src.join(back, "path").where("content = back").count() == src.where("content <> ''").count()
+    with pytest.raises(Exception, match="copy without a base"):
+        blocks.apply_delta(dst.limit(0), ops).count()
+
+
+def test_delta_ratio(spark):
+    ops = spark.createDataFrame([("a", "copy", 30), ("a", "data", 10), ("b", "copy", 0)], "path string, op string, size long")
+    assert {r.path: (r.literal, r.copied, r.ratio, r.percent) for r in blocks.delta_ratio(ops).collect()} == {"a": (10, 30, 0.25, 25.0), "b": (0, 0, 1.0, None)}
+
+
 def test_adler(tables):
     for r in tables.src().select("content", blocks.adler32(F.col("content").cast("binary")).alias("a")).limit(50).collect():
         assert r.a == zlib.adler32(r.content.encode())
@@ -169,6 +265,17 @@ def test_events_and_guards(tables, tmp_path):
     summaries.events_json(plan).write.text(str(tmp_path / "log"))
     events = [json.loads(line) for f in (tmp_path / "log").glob("part-*") for line in f.read_text().splitlines()]
     assert len(events) == plan.count() + 1 and {e["type"] for e in events} == {"create", "update", "skip", "delete", "summary"}
+    results = plan.select("path", F.when(F.col("action") == "delete", "gone").alias("error"), "action")
+    checked = compare.verify(*(df.withColumn("checksum", F.md5("content")) for df in (tables.src(), tables.dst())))
+    log = summaries.perf_metrics(plan.select(*[F.lit(1).alias(c) for c in ("files", "bytes", "transfer_seconds", "total_seconds")]))
+    kinds = [json.loads(r.value) for r in summaries.events_json(plan, results, "/a", "/b", checked, log).collect()]
+    of = lambda kind: [e for e in kinds if e["type"] == kind]
+    assert of("start")[0]["total_files"] == plan.count() and len(of("performance")) == 1
+    assert len(of("error")) == plan.where("action = 'delete'").count() == summaries.error_rows(results).count()
+    assert len(of("verification_result")) == 1 + checked.where("status <> 'matched'").count()
+    with pytest.raises(ValueError):
+        summaries.check_errors(results, 1)
+    summaries.check_errors(results, 0)
     with pytest.raises(ValueError):
         summaries.check_deletions(plan, tables.dst(), 1)
     summaries.check_deletions(plan, tables.dst(), 1, force=True)
@@ -182,8 +289,17 @@ def test_write_and_scan(spark, tables, tmp_path, codec):
     assert spark.read.parquet(str(tmp_path / "s")).count() == tables.src().count()
     (tmp_path / "t/d").mkdir(parents=True)
     (tmp_path / "t/d/x.bin").write_bytes(b"12345")
-    found = snapshots.scan_tree(spark, str(tmp_path / "t")).collect()
-    assert [(r.path, r.size, r.is_dir) for r in found] == [("d/x.bin", 5, False)]
+    (tmp_path / "t/d/e").mkdir()
+    (tmp_path / "t/d/e/y").write_bytes(b"1")
+    links = spark.createDataFrame([("d/e/y", "../x.bin")], "path string, target string")
+    found = snapshots.scan_tree(spark, str(tmp_path / "t"), links=links)
+    assert sorted((r.path, r.size, r.is_dir, r.symlink_target) for r in found.collect()) == [("d", 0, True, None), ("d/e", 0, True, None), ("d/e/y", 1, False, "../x.bin"), ("d/x.bin", 5, False, None)]
+    rows = snapshots.scan_tree(spark, str(tmp_path / "t"), content=True, dirs=False)
+    assert sorted((r.path, bytes(r.content)) for r in rows.collect()) == [("d/e/y", b"1"), ("d/x.bin", b"12345")]
+    plan = compare.symlink_plan(found, "preserve").where("kind = 'link'").collect()
+    assert [(r.path, r.source) for r in plan] == [("d/e/y", "../x.bin")]
+    kept = filters.prune_excluded_dirs(found, filters.parse_rules(["- e/"]))
+    assert {r.path for r in kept.collect()} == {"d", "d/x.bin"}
 
 
 def test_token_bucket(spark):
@@ -204,8 +320,15 @@ def test_streams(spark, tables, tmp_path):
     events.repartition(3).write.parquet(inbox)
     stream = snapshots.change_stream(spark, inbox, events.schema.simpleString()[7:-1].replace(":", " "), max_files=1)
     seen = []
+    full = []
     for _ in range(2):  # the second run finds nothing new
-        watch.watch(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "c"), None).awaitTermination(120)
+        watch.watch(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "c"), None, lambda: full.append(len(seen))).awaitTermination(120)
+    assert full == [0, 3]
+    by_bytes = snapshots.change_stream(spark, inbox, events.schema.simpleString()[7:-1].replace(":", " "), max_bytes=1)
+    watch.watch(by_bytes, lambda df, n: full.append(n), str(tmp_path / "b"), None).awaitTermination(120)
+    assert len(full) == 5
+    with pytest.raises(ValueError):
+        snapshots.change_stream(spark, inbox, "path string", 1, 1)
     assert sum(n for _, n in seen) == snapshots.changes_only(events).count() and len({b for b, _ in seen}) == len(seen) == 3
     sessions = watch.coalesce_events(stream, "1 hour", "1 hour")
     q = sessions.writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()

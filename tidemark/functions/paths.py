@@ -52,6 +52,8 @@ def key_to_path(key: Column, prefix: str) -> Column:
 
 
 def path_to_key(path: Column, prefix: str) -> Column:
+    """The object's key for a path below the prefix; slashes at the path's beginning don't count."""
+    path = F.regexp_replace(path, "^/+", "")
     return F.concat(F.lit(prefix.rstrip("/") + "/"), path) if prefix else path
 
 

@@ -9,15 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename
 
-#: Name endings of files that are compressed already.
+# Name endings of files that are compressed already.
 COMPRESSED = (
-    "7z", "aac", "avi", "avif", "br", "bz2", "docx", "flac", "flv", "gif", "gz", "heic", "jpeg", "jpg", "lz4", "m4a", "mkv", "mov", "mp3", "mp4",
-    "mpeg", "mpg", "odp", "ods", "odt", "ogg", "opus", "pdf", "png", "pptx", "rar", "webm", "webp", "wmv", "xlsx", "xz", "zip", "zst",
+    "jpg", "jpeg", "png", "gif", "webp", "avif", "heic", "heif", "mp4", "mkv", "avi", "mov", "webm", "m4v", "flv", "wmv", "mp3", "m4a", "aac", "ogg",
+    "opus", "flac", "wma", "zip", "gz", "bz2", "xz", "7z", "rar", "tar.gz", "tgz", "tar.bz2", "pdf", "docx", "xlsx", "pptx", "wasm", "br", "zst",
 )
 
 
@@ -58,40 +58,46 @@ def block_table(df: DataFrame, size: int | Column, weak: bool = False) -> DataFr
     return out.withColumn("weak", adler32(F.col("data"))) if weak else out
 
 
+def block_hashes(df: DataFrame, size: int) -> DataFrame:
+    """Rows (path, n, hashes): the content's length in bytes, and the MD5 of each of its blocks in order. Blocks are hashed
+    where the content is read, so that what is joined or grouped after it holds 32 characters a block."""
+    of = df.select("path", F.col("content").cast("binary").alias("content")).withColumn("n", F.octet_length("content").cast("long"))
+    hashes = F.expr(f"transform(sequence(0, cast((n - 1) div {size} as int)), i -> md5(substring(content, cast(i * {size} + 1 as int), {size})))")
+    return of.select("path", "n", F.when(F.col("n") > 0, hashes).otherwise(F.array().cast("array<string>")).alias("hashes"))
+
+
+def _sides(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+    """Rows (path, x_n, x, y_n, y) of paths on both sides."""
+    one = lambda df, c: block_hashes(df, size).select("path", F.col("n").alias(f"{c}_n"), F.col("hashes").alias(c))
+    return one(a, "x").join(one(b, "y"), "path")
+
+
 def verify_blocks(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     """Rows (path, idx, expected, actual) of blocks that differ or that one side lacks, for paths on both sides."""
-    both = a.select("path").join(b.select("path"), "path").distinct()
-    x = block_table(a.join(both, "path", "left_semi"), size).select("path", "idx", F.col("strong").alias("expected"))
-    y = block_table(b.join(both, "path", "left_semi"), size).select("path", "idx", F.col("strong").alias("actual"))
-    return x.join(y, ["path", "idx"], "full_outer").where(~F.col("expected").eqNullSafe(F.col("actual")))
+    met = _sides(a, b, size).select("path", F.posexplode(F.arrays_zip(F.col("x").alias("expected"), F.col("y").alias("actual"))).alias("idx", "z"))
+    rows = met.select("path", F.col("idx").cast("long").alias("idx"), F.col("z.expected").alias("expected"), F.col("z.actual").alias("actual"))
+    return rows.where(~F.col("expected").eqNullSafe(F.col("actual")))
 
 
 def block_diff(src: DataFrame, dst: DataFrame, size: int) -> DataFrame:
     """Rows (path, blocks, changed, literal_bytes) for paths on both sides: source blocks whose like-numbered destination
-    block differs or is missing, and their bytes."""
-    both = src.select("path").join(dst.select("path"), "path").distinct()
-    x = block_table(src.join(both, "path", "left_semi"), size).select("path", "idx", "size", "strong")
-    y = block_table(dst.join(both, "path", "left_semi"), size).select("path", "idx", F.col("strong").alias("other"))
-    changed = ~F.col("strong").eqNullSafe(F.col("other"))
-    return x.join(y, ["path", "idx"], "left").groupBy("path").agg(F.count("*").alias("blocks"), F.count_if(changed).alias("changed"), F.sum(F.when(changed, F.col("size")).otherwise(0)).alias("literal_bytes"))
+    block differs or is missing, and their bytes. An empty source gives no row."""
+    met = _sides(src, dst, size).where("x_n > 0").withColumn("other", F.expr("filter(sequence(0, size(x) - 1), i -> not (x[i] <=> get(y, i)))"))
+    literal = F.expr(f"aggregate(other, 0L, (t, i) -> t + least({size}L, x_n - i * {size}L))")
+    return met.select("path", F.size("x").cast("long").alias("blocks"), F.size("other").cast("long").alias("changed"), literal.alias("literal_bytes"))
 
 
 def change_ratio(src: DataFrame, dst: DataFrame, size: int, samples: int = 20, threshold: float = 0.75) -> DataFrame:
     """Rows (path, ratio, samples, use_delta) for paths on both sides: the share of evenly spaced destination blocks that
     differ from the source's. Where the sizes differ by more than half of the destination's, the difference itself."""
-    j = src.select("path", F.col("content").cast("binary").alias("s")).join(dst.select("path", F.col("content").cast("binary").alias("d")), "path")
-    j = j.withColumns({"ss": F.octet_length("s").cast("long"), "ds": F.octet_length("d").cast("long")})
+    j = _sides(src, dst, size).select("path", F.col("x_n").alias("ss"), F.col("y_n").alias("ds"), "x", "y")
     apart = F.when(F.col("ds") == 0, F.when(F.col("ss") == 0, 0.0).otherwise(1.0)).otherwise(F.abs(F.col("ss") - F.col("ds")) / F.col("ds"))
-    j = j.withColumn("apart", apart).withColumn("blocks", F.ceil(F.col("ds") / size))
+    j = j.withColumn("apart", apart).withColumn("blocks", F.size("y").cast("long")).withColumn("n", F.least(F.lit(samples).cast("long"), "blocks"))
+    j = j.withColumn("step", F.when(F.col("n") > 1, F.expr("blocks div (n - 1)")).otherwise(0))
     quick = (F.col("apart") > 0.5) | (F.col("ds") == 0)
-    fast = j.where(quick).select("path", F.least("apart", F.lit(1.0)).alias("ratio"), F.lit(0).cast("long").alias("samples"))
-    rest = j.where(~quick).withColumn("n", F.least(F.lit(samples).cast("long"), "blocks"))
-    step = F.when(F.col("n") > 1, F.floor(F.col("blocks") / (F.col("n") - 1))).otherwise(0)
-    at = F.least(F.col("i") * step, F.col("blocks") - 1)
-    rest = rest.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("off", at * size)
-    piece = lambda c: F.md5(F.expr(f"substring({c}, cast(off + 1 as int), {size})"))
-    sampled = rest.groupBy("path").agg((F.count_if(piece("s") != piece("d")) / F.count("*")).alias("ratio"), F.count("*").alias("samples"))
-    return fast.unionByName(sampled).withColumn("use_delta", F.col("ratio") <= threshold)
+    differ = F.size(F.expr("filter(transform(sequence(0L, n - 1), i -> cast(least(i * step, blocks - 1) as int)), p -> not (get(x, p) <=> y[p]))"))
+    out = j.select("path", F.when(quick, F.least("apart", F.lit(1.0))).otherwise(differ / F.col("n")).alias("ratio"), F.when(quick, 0).otherwise(F.col("n")).cast("long").alias("samples"))
+    return out.withColumn("use_delta", F.col("ratio") <= threshold)
 
 
 def choose_strategy(df: DataFrame, small: int = 4096, local_small: int = 10 << 20, is_local: bool = True, limit: float = 0.75) -> DataFrame:
@@ -100,31 +106,34 @@ def choose_strategy(df: DataFrame, small: int = 4096, local_small: int = 10 << 2
     return df.withColumn("strategy", F.when(F.col("dst_size").isNull(), "full").when(F.col("dst_size") < floor, "full").when(F.col("is_sparse"), "sparse").when(F.col("ratio") > limit, "full").otherwise("delta"))
 
 
-def delta(source: bytes, base: bytes, width: int) -> Iterator[tuple[str, int, int, bytes | None]]:
+def weak_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """The two sums of Adler's checksum, without its modulus, in 16 and 32 bits, of all runs of `width` bytes."""
+    sums, steps = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * np.arange(len(x)))])
+    a = sums[width:] - sums[:-width]
+    b = np.arange(width, len(x) + 1) * a - (steps[width:] - steps[:-width])
+    return (a & 0xFFFF) | ((b & 0xFFFFFFFF) << 16)
+
+
+def delta(source: bytes, base: bytes, width: int, piece: int = 1 << 20) -> Iterator[tuple[str, int, int, bytes | None]]:
     """Operations (op, off, size, data) that rebuild source from base: from left to right a block that base has becomes
     a copy of its first such block, and everything else literal bytes; a rest shorter than a block may match base's last.
 
-    Weak sums of all places come from prefix sums at once, and only places whose sum base has are looked at further."""
+    Weak sums of all places come from prefix sums, over one piece of the source after another, so that memory beside the
+    two contents does not grow with them; only places whose sum base has are looked at further."""
     blocks: dict[bytes, int] = {}
     for off in range(0, len(base), width):
         blocks.setdefault(base[off : off + width], off)
     n, at, begun = len(source), 0, 0
-    full = {b for b in blocks if len(b) == width}
-    places = np.empty(0, np.int64)
-    if full and n >= width:
-        x = np.frombuffer(source, np.uint8).astype(np.int64)
-        sums, steps = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * np.arange(n))])
-        a = sums[width:] - sums[:-width]
-        b = np.arange(width, n + 1) * a - (steps[width:] - steps[:-width])
-        weak = (a & 0xFFFF) | ((b & 0xFFFFFFFF) << 16)
-        of = np.array([(sum(p) & 0xFFFF) | ((sum((width - i) * v for i, v in enumerate(p)) & 0xFFFFFFFF) << 16) for p in full])
-        places = np.flatnonzero(np.isin(weak, of))
-    for p in places.tolist():
-        if p >= at and source[p : p + width] in full:
-            if begun < p:
-                yield "data", begun, p - begun, source[begun:p]
-            yield "copy", blocks[source[p : p + width]], width, None
-            at = begun = p + width
+    full = np.frombuffer(base, np.uint8, len(base) // width * width).reshape(-1, width)
+    known = np.unique(np.concatenate([np.empty(0, np.int64), *(weak_sums(np.ascontiguousarray(full[lo : lo + 1024]).ravel().astype(np.int64), width)[::width] for lo in range(0, len(full), 1024))]))
+    for lo in range(0, n - width + 1 if len(known) else 0, piece):
+        x = np.frombuffer(source, np.uint8)[lo : lo + piece + width - 1].astype(np.int64)
+        for p in (lo + np.flatnonzero(np.isin(weak_sums(x, width), known))).tolist():
+            if p >= at and source[p : p + width] in blocks:
+                if begun < p:
+                    yield "data", begun, p - begun, source[begun:p]
+                yield "copy", blocks[source[p : p + width]], width, None
+                at = begun = p + width
     tail = next((t for t in range(max(at, n - width + 1), n) if source[t:] in blocks), n) if len(base) % width else n
     if begun < tail:
         yield "data", begun, tail - begun, source[begun:tail]
@@ -153,13 +162,33 @@ def rolling_delta(src: DataFrame, dst: DataFrame, width: int = 512) -> DataFrame
 
 
 def apply_delta(base: DataFrame, ops: DataFrame) -> DataFrame:
-    """Rows (path, content, n_ops, literal_bytes, size) rebuilt from the base's content; a copy without a base fails."""
-    of = ops.join(base.select("path", F.col("content").cast("binary").alias("base")), "path", "left")
-    copied = F.expr("substring(base, cast(off + 1 as int), cast(size as int))")
-    data = F.when(F.col("op") == "data", F.col("data")).when(F.col("base").isNull(), F.raise_error(F.lit("copy without a base")).cast("binary")).otherwise(copied)
-    pieces = F.sort_array(F.collect_list(F.struct("op_idx", data.alias("data"))))
-    out = of.groupBy("path").agg(pieces.alias("p"), F.count("*").alias("n_ops"), F.sum(F.when(F.col("op") == "data", F.col("size")).otherwise(0)).alias("literal_bytes"), F.sum("size").alias("size"))
-    return out.select("path", F.array_join(F.transform("p", lambda x: F.hex(x["data"])), "").alias("h"), "n_ops", "literal_bytes", "size").select("path", F.unhex("h").alias("content"), "n_ops", "literal_bytes", "size")
+    """Rows (path, content, n_ops, literal_bytes, size) rebuilt from the base's content; a copy without a base fails. The
+    operations of a path are gathered first, so that its base is joined once."""
+    of = ops.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("op_idx", "op", "off", "size", "data"))).alias("ops"))
+    j = of.join(base.select("path", F.col("content").cast("binary").alias("base")), "path", "left").select("path", "ops", "base")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, ops, old = (b.column(c)[i].as_py() for c in range(3))
+                if old is None and any(o["op"] == "copy" for o in ops):
+                    raise ValueError(f"{path}: copy without a base")
+                parts = [o["data"] if o["op"] == "data" else old[o["off"] : o["off"] + o["size"]] for o in ops]
+                literal = sum(o["size"] for o in ops if o["op"] == "data")
+                row = (path, b"".join(parts), len(ops), literal, sum(o["size"] for o in ops))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["path", "content", "n_ops", "literal_bytes", "size"])
+
+    return j.mapInArrow(run, "path string, content binary, n_ops long, literal_bytes long, size long")
+
+
+def write_delta(ops: DataFrame, path: str) -> None:
+    """The operations of rolling_delta() as a table in zstd-compressed parquet, to be applied elsewhere or later."""
+    ops.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_delta(spark: SparkSession, path: str) -> DataFrame:
+    """Operations that write_delta() left, for apply_delta()."""
+    return spark.read.schema(OPS).parquet(path)
 
 
 def delta_ratio(ops: DataFrame) -> DataFrame:

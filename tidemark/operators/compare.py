@@ -1,10 +1,12 @@
-"""One-way plans, their application, and audits. The join on path is the only shuffle."""
+"""One-way plans, their application, and audits. Two snapshots meet in one join on path."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 MODES = ("mtime", "size", "ignore_times", "checksum")
 #: Verification modes and the checksum and block check that each asks for.
 VERIFICATION = {"fast": ("none", False), "standard": ("fast", False), "verify": ("cryptographic", False), "paranoid": ("cryptographic", True)}
@@ -27,23 +29,33 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select("path", *columns, F.lit(True).alias(f"in_{side}"))
 
 
+def _changed(mode: str) -> Column:
+    """Whether a file that both sides have needs an update, over src_ and dst_ columns."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "checksum":
+        return F.coalesce(F.col("src_checksum") != F.col("dst_checksum"), F.lit(True))
+    if mode == "ignore_times":
+        return F.lit(True)
+    sizes = F.col("src_size") != F.col("dst_size")
+    return sizes if mode == "size" else sizes | ~same_time(F.col("src_mtime"), F.col("dst_mtime"))
+
+
+def _action(mode: str) -> Column:
+    return F.when(F.col("in_src").isNull(), "delete").when(F.col("in_dst").isNull(), "create").when(F.col("src_is_dir"), "skip").when(_changed(mode), "update").otherwise("skip")
+
+
+_PLAN = ("path", "action", "is_dir", "src_size", "dst_size", "src_mtime", "dst_mtime")
+
+
 def plan_oneway(src: DataFrame, dst: DataFrame, mode: str = "mtime") -> DataFrame:
     """Rows (path, action, is_dir, src_size, dst_size, src_mtime, dst_mtime) for every source row: create, update or skip.
 
     A directory that exists is skipped. A file is updated if sizes differ or times do (mtime), if sizes differ (size),
     always (ignore_times), or if checksums differ or one is unknown (checksum).
     """
-    if mode not in MODES:
-        raise ValueError(f"unknown mode {mode}")
     j = _named(src, "src").join(_named(dst, "dst"), "path", "left")
-    changed = {
-        "mtime": (F.col("src_size") != F.col("dst_size")) | ~same_time(F.col("src_mtime"), F.col("dst_mtime")),
-        "size": F.col("src_size") != F.col("dst_size"),
-        "ignore_times": F.lit(True),
-        "checksum": F.coalesce(F.col("src_checksum") != F.col("dst_checksum"), F.lit(True)) if mode == "checksum" else None,
-    }[mode]
-    action = F.when(F.col("in_dst").isNull(), "create").when(F.col("src_is_dir"), "skip").when(changed, "update").otherwise("skip")
-    return j.select("path", action.alias("action"), F.col("src_is_dir").alias("is_dir"), "src_size", "dst_size", "src_mtime", "dst_mtime")
+    return j.withColumn("action", _action(mode)).withColumn("is_dir", F.col("src_is_dir")).select(*_PLAN)
 
 
 def plan_deletes(src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -53,13 +65,43 @@ def plan_deletes(src: DataFrame, dst: DataFrame) -> DataFrame:
     return gone.select("path", F.lit("delete").alias("action"), F.col("dst_is_dir").alias("is_dir"), none.cast("long").alias("src_size"), "dst_size", none.cast("timestamp").alias("src_mtime"), "dst_mtime")
 
 
+def plan_sync(src: DataFrame, dst: DataFrame, mode: str = "mtime", delete: bool = True) -> DataFrame:
+    """plan_oneway() and, with `delete`, plan_deletes() in one join."""
+    j = _named(src, "src").join(_named(dst, "dst"), "path", "full_outer" if delete else "left")
+    return j.withColumn("action", _action(mode)).withColumn("is_dir", F.coalesce("src_is_dir", "dst_is_dir")).select(*_PLAN)
+
+
+def _whole(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return df.select("path", F.lit(True).alias(f"in_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in columns if c != "path"])
+
+
 def apply_plan(src: DataFrame, dst: DataFrame, plan: DataFrame) -> DataFrame:
-    """The new destination: created and updated rows from the source, deleted ones gone, all others as they were."""
+    """The new destination: created and updated rows from the source, deleted ones gone, all others as they were.
+
+    For a plan that came from elsewhere (a table, a plan with some paths taken out). Each side and the plan are moved once:
+    rows of all three are united and grouped by path. synchronise() plans and applies in one join.
+    """
     columns = [c for c in dst.columns if c in src.columns]
-    todo = plan.select("path", "action")
-    new = src.join(todo.where("action in ('create', 'update')"), "path", "left_semi").select(*columns)
-    kept = dst.join(todo.where("action in ('create', 'update', 'delete')"), "path", "left_anti").select(*columns)
-    return new.unionByName(kept)
+    picked = F.struct(*columns)
+    none = F.lit(None)
+    row = lambda df, side: df.select("path", F.lit(side).alias("side"), picked.alias("row"), none.cast("string").alias("action"))
+    kind = dst.select(picked.alias("row")).schema["row"].dataType
+    todo = plan.select("path", F.lit("plan").alias("side"), none.cast(kind).alias("row"), "action")
+    rows = row(src, "src").withColumn("row", F.col("row").cast(kind)).unionByName(row(dst, "dst")).unionByName(todo)
+    of = lambda side: F.max_by("row", F.when(F.col("side") == side, 1))
+    met = rows.groupBy("path").agg(of("src").alias("s"), of("dst").alias("d"), F.max("action").alias("action"))
+    new = F.when(F.col("action").isin("create", "update"), F.col("s")).when(F.col("action") == "delete", none).otherwise(F.col("d"))
+    return met.select(new.alias("row")).where("row is not null").select("row.*")
+
+
+def synchronise(src: DataFrame, dst: DataFrame, mode: str = "mtime", delete: bool = True) -> DataFrame:
+    """The new destination after plan_sync(): the plan is decided and each row picked in one full outer join."""
+    columns = [c for c in dst.columns if c in src.columns]
+    more = list(dict.fromkeys([*columns, "size", "mtime", "is_dir", *(["checksum"] if mode == "checksum" else [])]))
+    j = _whole(src, "src", more).join(_whole(dst, "dst", more), "path", "full_outer").withColumn("action", _action(mode))
+    new = F.col("action").isin("create", "update")
+    kept = j if not delete else j.where("action <> 'delete'")
+    return kept.select(*[F.col("path") if c == "path" else F.when(new, F.col(f"src_{c}")).otherwise(F.col(f"dst_{c}")).alias(c) for c in columns])
 
 
 def resume_plan(plan: DataFrame, completed: DataFrame, flags: dict, completed_flags: dict) -> DataFrame:
@@ -83,11 +125,14 @@ def verify_summary(detail: DataFrame, errors: int = 0) -> DataFrame:
 
 
 def verify_apply(src: DataFrame, new_dst: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row (verified, failures) over the created and updated files of an applied plan."""
-    done = plan.where("action in ('create', 'update') and not is_dir").select("path")
-    j = done.join(src.select("path", F.col("checksum").alias("s")), "path", "left").join(new_dst.select("path", F.col("checksum").alias("d")), "path", "left")
+    """One row (verified, failures) over the created and updated files of an applied plan. The paths and checksums of all
+    three are united and grouped by path, so that each is moved once."""
+    none = F.lit(None)
+    one = lambda df, side: df.select("path", *[(F.col("checksum") if c == side else none.cast("string")).alias(c) for c in ("s", "d")], F.lit(False).alias("done"))
+    done = plan.where("action in ('create', 'update') and not is_dir").select("path", none.cast("string").alias("s"), none.cast("string").alias("d"), F.lit(True).alias("done"))
+    met = one(src, "s").unionByName(one(new_dst, "d")).unionByName(done).groupBy("path").agg(F.max("s").alias("s"), F.max("d").alias("d"), F.max("done").alias("done")).where("done")
     same = F.coalesce(F.col("s") == F.col("d"), F.lit(False))
-    return j.agg(F.count_if(same).alias("verified"), F.count_if(~same).alias("failures"))
+    return met.agg(F.count_if(same).alias("verified"), F.count_if(~same).alias("failures"))
 
 
 def hardlink_plan(df: DataFrame) -> DataFrame:
@@ -114,15 +159,19 @@ def symlink_plan(df: DataFrame, mode: str) -> DataFrame:
     return plain.unionByName(links.join(files, "symlink_target").select("path", F.lit("copy").alias("kind"), F.col("symlink_target").alias("source")))
 
 
-def symlink_loops(df: DataFrame, most: int = 40) -> DataFrame:
-    """Paths of links that come back to a link already passed. After so many steps a chain counts as a loop, as file
-    systems have it. Each step doubles the distance looked at, and stops once no link leads on."""
+def symlink_loops(df: DataFrame) -> DataFrame:
+    """Paths of links whose chain never ends: it leads into a cycle. Each step doubles the distance that every chain is
+    followed and drops those that have ended; when a step drops none, what is left goes in circles. So n steps follow
+    2 ** n links, and chains of any length that end are no loops."""
     hop = df.where("is_symlink").select(F.col("path").alias("at"), F.col("symlink_target").alias("to"))
-    steps = 1
-    while steps < most:
+    left = hop.count()
+    while left:
         nxt = hop.select(F.col("at").alias("mid"), F.col("to").alias("far"))
         hop = hop.join(nxt, hop["to"] == nxt["mid"]).select("at", F.col("far").alias("to"))
-        steps *= 2
+        hop = stored(hop)
+        before, left = left, hop.count()
+        if left == before:
+            break
     return hop.select(F.col("at").alias("path")).distinct()
 
 

@@ -50,9 +50,10 @@ def parse_rules(lines: list[str]) -> list[Rule]:
     return out
 
 
-def load_rules(spark: SparkSession, *, filter: list[str] = (), include: list[str] = (), exclude: list[str] = (), include_from: list[str] = (), exclude_from: list[str] = (), templates: list[str] = (), ignore_file: str | None = None) -> list[Rule]:
+def load_rules(spark: SparkSession, *, filter: list[str] = (), include: list[str] = (), exclude: list[str] = (), include_from: list[str] = (), exclude_from: list[str] = (), templates: list[str] = (), ignore_file: str | None = None, template_dir: str | None = None) -> list[Rule]:
     """Rules from all places, in their order of precedence: filter lines, include and exclude patterns, files of plain
-    include and exclude patterns, template files and an ignore file, both of rule lines."""
+    include and exclude patterns, templates and an ignore file, both of rule lines. A template is a path, or, with
+    template_dir, the name of a file `<name>.rules` there."""
 
     def lines(path):
         read = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("at")).orderBy("at")
@@ -64,6 +65,8 @@ def load_rules(spark: SparkSession, *, filter: list[str] = (), include: list[str
         out += plain(lines(path), True)
     for path in exclude_from:
         out += plain(lines(path), False)
+    if template_dir:
+        templates = [t if "/" in t else f"{template_dir.rstrip('/')}/{t}.rules" for t in templates]
     for path in [*templates, *([ignore_file] if ignore_file else [])]:
         out += parse_rules(lines(path))
     return out
@@ -116,22 +119,27 @@ def _fits(regex: str) -> Callable[[Column], Column]:
 def apply_ignore(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Ignore files: rules (folder of the file, line). Patterns hold below their folder; of all that match, the one in the
     deepest folder and then the last one decides, and `!` takes a path back in. A pattern without a slash matches any
-    part of the path below the folder. What is in `.git` goes."""
+    part of the path below the folder; one that ends in a slash matches directories only, and so what is in them. What is
+    in `.git` goes. Without a column is_dir all rows are files."""
+    is_dir = F.col("is_dir") if "is_dir" in df.columns else F.lit(False)
     path, at = F.col("path"), F.struct(F.lit(-1).alias("depth"), F.lit(-1).alias("idx"), F.lit(False).alias("ignored"))
     found = [at]
     for idx, (folder, line) in enumerate(rules):
         line = line.strip()
         if not line or line.startswith("#"):
             continue
-        keep, glob = line.startswith("!"), line.lstrip("!").rstrip("/")
+        keep, glob = line.startswith("!"), line.removeprefix("!")
+        dirs_only, glob = glob.endswith("/"), glob.rstrip("/")
         folder = folder.strip("/")
         inside = F.lit(True) if not folder else path.startswith(folder + "/")
         rest = path if not folder else F.substring(path, len(folder) + 2, 1 << 30)
         if "/" in glob:
             fits = _fits(glob_to_regex(glob.lstrip("/")))
-            hit = fits(rest) | F.exists(ancestors(rest), fits)
+            hit = (fits(rest) & is_dir if dirs_only else fits(rest)) | F.exists(ancestors(rest), fits)
         else:
-            hit = F.exists(F.split(rest, "/"), _fits(glob_to_regex(glob)))
+            fits, parts = _fits(glob_to_regex(glob)), F.split(rest, "/")
+            above = F.exists(F.slice(parts, 1, F.size(parts) - 1), fits)
+            hit = above | (fits(basename(rest)) & is_dir if dirs_only else fits(basename(rest)))
         depth = len(folder.split("/")) if folder else 0
         found.append(F.when(inside & hit, F.struct(F.lit(depth).alias("depth"), F.lit(idx).alias("idx"), F.lit(not keep).alias("ignored"))))
     last = F.array_max(F.array(*found))

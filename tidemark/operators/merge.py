@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension, parent, stem
 from .state import pivot_state
+from .tables import stored
 
 STRATEGIES = ("newer", "larger", "smaller", "source", "dest", "rename")
 CONFLICTS = ("CreateCreateConflict", "ModifiedBoth", "ModifyDeleteConflict")
@@ -23,14 +24,15 @@ def classify(src: DataFrame, dst: DataFrame, state: DataFrame) -> DataFrame:
     """Rows (path, change_type, s_size, s_mtime, d_size, d_mtime, ps_size, ...) of what changed since the state was kept.
 
     A side is modified if its size differs from the one remembered or its time is later. Two present sides are equal if
-    their sizes are. A path that is a directory on either side gives no row.
+    their sizes are. A path that is a directory on either side gives no row. A row is there whatever its size: one of unknown
+    size equals another of unknown size, and differs from any known one. s_there and d_there tell which sides have the path.
     """
-    one = lambda df, p: df.select("path", F.col("size").alias(f"{p}_size"), F.col("mtime").alias(f"{p}_mtime"), F.col("is_dir").alias(f"{p}_dir"))
+    one = lambda df, p: df.select("path", F.col("size").alias(f"{p}_size"), F.col("mtime").alias(f"{p}_mtime"), F.col("is_dir").alias(f"{p}_dir"), F.lit(True).alias(f"in_{p}"))
     j = one(src, "s").join(one(dst, "d"), "path", "full_outer").join(pivot_state(state), "path", "left")
     j = j.where(~F.coalesce("s_dir", F.lit(False)) & ~F.coalesce("d_dir", F.lit(False)))
-    s, d, ps, pd = (F.col(f"{x}_size").isNotNull() for x in ("s", "d", "ps", "pd"))
-    changed = lambda x: (F.col(f"{x}_size") != F.col(f"p{x}_size")) | (F.col(f"{x}_mtime") > F.col(f"p{x}_mtime"))
-    eq, ms, md = F.col("s_size") == F.col("d_size"), changed("s"), changed("d")
+    s, d, ps, pd = (F.coalesce(f"in_{x}", F.lit(False)) for x in ("s", "d", "ps", "pd"))
+    changed = lambda x: ~F.col(f"{x}_size").eqNullSafe(F.col(f"p{x}_size")) | F.coalesce(F.col(f"{x}_mtime") > F.col(f"p{x}_mtime"), F.lit(False))
+    eq, ms, md = F.col("s_size").eqNullSafe(F.col("d_size")), changed("s"), changed("d")
     both = (
         F.when(~ps & ~pd, F.when(~eq, "CreateCreateConflict"))
         .when(ps & pd, F.when(ms & md, F.when(~eq, "ModifiedBoth")).when(ms, "ModifiedInSource").when(md, "ModifiedInDest"))
@@ -40,7 +42,7 @@ def classify(src: DataFrame, dst: DataFrame, state: DataFrame) -> DataFrame:
     only_s = F.when(ps & pd, F.when(ms, "ModifyDeleteConflict").otherwise("DeletedFromDest")).when(pd, "DeletedFromDest").otherwise("NewInSource")
     only_d = F.when(ps & pd, F.when(md, "ModifyDeleteConflict").otherwise("DeletedFromSource")).when(ps, "DeletedFromSource").otherwise("NewInDest")
     kind = F.when(s & d, both).when(s, only_s).when(d, only_d)
-    return j.withColumn("change_type", kind).where("change_type is not null").select("path", "change_type", *[f"{x}_{c}" for x in ("s", "d", "ps", "pd") for c in ("size", "mtime")])
+    return j.withColumn("change_type", kind).where("change_type is not null").select("path", "change_type", *[f"{x}_{c}" for x in ("s", "d", "ps", "pd") for c in ("size", "mtime")], s.alias("s_there"), d.alias("d_there"))
 
 
 def conflict_name(path, side: str, stamp: int):
@@ -58,7 +60,7 @@ def resolve(changes: DataFrame, strategy: str, stamp: int = 0) -> DataFrame:
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    s, d = F.col("s_size").isNotNull(), F.col("d_size").isNotNull()
+    s, d = F.col("s_there"), F.col("d_there")
     to_dest, to_source, rename = F.lit("CopyToDest"), F.lit("CopyToSource"), F.lit("RenameConflict")
     one_sided = F.when(~d, to_dest).when(~s, to_source)
     a, b = {"newer": ("s_mtime", "d_mtime"), "larger": ("s_size", "d_size"), "smaller": ("d_size", "s_size")}.get(strategy, ("s_size", "d_size"))
@@ -75,21 +77,39 @@ def resolve(changes: DataFrame, strategy: str, stamp: int = 0) -> DataFrame:
     out = changes.withColumn("action", action)
     win = lambda c: F.when(F.col("action") == "CopyToDest", F.col(f"s_{c}")).when(F.col("action") == "CopyToSource", F.col(f"d_{c}"))
     names = [F.when(F.col("action") == "RenameConflict", conflict_name(F.col("path"), side, stamp)).alias(f"conflict_{side}_path") for side in ("source", "dest")]
-    return out.select("path", "action", win("size").alias("winner_size"), win("mtime").alias("winner_mtime"), *names, "s_size", "s_mtime", "d_size", "d_mtime")
+    return out.select("path", "change_type", "action", win("size").alias("winner_size"), win("mtime").alias("winner_mtime"), *names, "s_size", "s_mtime", "d_size", "d_mtime")
 
 
-def apply_merge(src: DataFrame, dst: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both new snapshots. A renamed conflict moves each side's own row; the copies are not exchanged."""
-    columns = [c for c in src.columns if c in dst.columns]
-    todo = actions.select("path", "action", "conflict_source_path", "conflict_dest_path")
+def merged_sides(src: DataFrame, dst: DataFrame, actions: DataFrame) -> DataFrame:
+    """Both new snapshots in one table, as rows (side, ...) with side 'source' or 'dest'. A renamed conflict moves each
+    side's own row; the copies are not exchanged.
+
+    Both sides and the actions are united and grouped by path, so that each is moved once; every path then gives the rows
+    that it leaves on either side.
+    """
+    columns = [c for c in src.columns if c in dst.columns and c != "path"]
+    none = F.lit(None)
+    kind = src.select(F.struct(*columns).alias("r")).schema["r"].dataType
+    row = lambda df, side: df.select("path", F.lit(side).alias("side"), F.struct(*columns).cast(kind).alias("r"), none.cast("string").alias("action"), none.cast("string").alias("to_s"), none.cast("string").alias("to_d"))
+    todo = actions.select("path", F.lit("action").alias("side"), none.cast(kind).alias("r"), "action", F.col("conflict_source_path").alias("to_s"), F.col("conflict_dest_path").alias("to_d"))
+    rows = row(src, "source").unionByName(row(dst, "dest")).unionByName(todo)
+    of = lambda side: F.max_by("r", F.when(F.col("side") == side, 1))
+    met = rows.groupBy("path").agg(of("source").alias("s"), of("dest").alias("d"), *[F.max(c).alias(c) for c in ("action", "to_s", "to_d")])
+    a = F.coalesce("action", F.lit(""))
 
-    def new(own, other, copy, delete, name):
-        stay = own.join(todo.where(F.col("action").isin(copy, delete, "RenameConflict")), "path", "left_anti").select(*columns)
-        come = other.join(todo.where(F.col("action") == copy), "path", "left_semi").select(*columns)
-        moved = own.join(todo.where("action = 'RenameConflict'").select("path", F.col(name).alias("__to")), "path").withColumn("path", F.col("__to")).select(*columns)
-        return stay.unionByName(come).unionByName(moved)
+    def left(side, own, other, copy, delete, name):
+        new = F.when(a == copy, F.col(other)).when(a != delete, F.col(own))
+        path = F.when(a == "RenameConflict", F.col(name)).otherwise(F.col("path"))
+        return F.when(new.isNotNull(), F.struct(F.lit(side).alias("side"), path.alias("path"), new.alias("r")))
 
-    return new(src, dst, "CopyToSource", "DeleteFromSource", "conflict_source_path"), new(dst, src, "CopyToDest", "DeleteFromDest", "conflict_dest_path")
+    both = F.array(left("source", "s", "d", "CopyToSource", "DeleteFromSource", "to_s"), left("dest", "d", "s", "CopyToDest", "DeleteFromDest", "to_d"))
+    return met.select(F.explode(both).alias("x")).where("x is not null").select("x.side", "x.path", "x.r.*")
+
+
+def apply_merge(src: DataFrame, dst: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both new snapshots, in the columns that the sides have in common."""
+    both, columns = merged_sides(src, dst, actions), [c for c in src.columns if c in dst.columns]
+    return tuple(both.where(F.col("side") == side).select(*columns) for side in ("source", "dest"))
 
 
 def update_state(state: DataFrame, actions: DataFrame, now, sides: str = "both") -> DataFrame:
@@ -140,9 +160,10 @@ def merge_deletion_guard(changes: DataFrame, percent: int) -> DataFrame:
 
 
 def bisync(src: DataFrame, dst: DataFrame, state: DataFrame, now, strategy: str = "newer", percent: int = 50, stamp: int = 0, sides: str = "both", force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new source, new destination, new state); raises where the deletions exceed the guard."""
+    """(new source, new destination, new state); raises where the deletions exceed the guard. Changes are found once: their
+    actions, narrow rows, go to the checkpoint folder, and the guard and all three results read them there."""
     changes = classify(src, dst, state)
-    if not force and not merge_deletion_guard(changes, percent).first()["ok"]:
+    actions = stored(resolve(changes, strategy_name(strategy), stamp))
+    if not force and not merge_deletion_guard(actions, percent).first()["ok"]:
         raise ValueError("too many deletions")
-    actions = resolve(changes, strategy_name(strategy), stamp)
     return *apply_merge(src, dst, actions), update_state(state, actions, now, sides)

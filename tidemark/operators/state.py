@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def upsert(state: DataFrame, updates: DataFrame, keys: list[str], deleted: DataFrame | None = None) -> DataFrame:
-    """The table with rows of the same keys replaced by the updates (of several for one key, the last by `updated`, or
-    any where it is absent), and without the deleted paths."""
-    order = F.col("updated").desc() if "updated" in updates.columns else F.lit(0)
-    last = updates.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__nth = 1").select(*state.columns)
+    """The table with rows of the same keys replaced by the updates (of several for one key, the last by `updated` and then
+    by all columns, so that reruns agree), and without the deleted paths."""
+    order = [F.col(c).desc() for c in (*(["updated"] if "updated" in updates.columns else []), *state.columns)]
+    last = updates.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").select(*state.columns)
     out = state.join(last.select(*keys), keys, "left_anti").unionByName(last)
     return out if deleted is None else out.join(deleted.select("path"), "path", "left_anti")
 
@@ -25,18 +25,18 @@ def clear_state(state: DataFrame, source: str, dest: str) -> DataFrame:
 
 
 def pivot_state(state: DataFrame) -> DataFrame:
-    """One row for each path: ps_size, ps_mtime, pd_size, pd_mtime; null where a side has no row."""
+    """One row for each path: ps_size, ps_mtime, pd_size, pd_mtime, null where a side has no row, and in_ps and in_pd."""
     def side(name, p):
         of = F.col("side") == name
-        return [F.max(F.when(of, F.col(c))).alias(f"{p}_{c}") for c in ("size", "mtime")]
+        return [F.max(F.when(of, F.col(c))).alias(f"{p}_{c}") for c in ("size", "mtime")] + [F.max(of).alias(f"in_{p}")]
 
     return state.groupBy("path").agg(*side("source", "ps"), *side("dest", "pd"))
 
 
 def with_checksum(df: DataFrame, cache: DataFrame, kind: str, compute: Column) -> DataFrame:
     """df with checksum and from_cache. A cached value counts if path, time, size and kind are all the same; only the
-    other rows compute theirs."""
-    c = cache.where(F.col("checksum_type") == kind).select("path", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"), F.col("checksum").alias("__checksum"))
+    other rows compute theirs. Of repeated cache rows the smallest value counts, so that no row of df is repeated."""
+    c = cache.where(F.col("checksum_type") == kind).groupBy("path", F.col("size").alias("__size"), F.col("mtime").alias("__mtime")).agg(F.min("checksum").alias("__checksum"))
     j = df.join(c, (df["path"] == c["path"]) & (df["size"] == c["__size"]) & (df["mtime"] == c["__mtime"]), "left").drop(c["path"])
     hit = F.col("__checksum").isNotNull()
     return j.select(*df.columns, F.when(hit, F.col("__checksum")).otherwise(compute).alias("checksum"), hit.alias("from_cache"))

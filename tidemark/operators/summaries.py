@@ -53,9 +53,14 @@ def capacity_check(plan: DataFrame, available: int) -> DataFrame:
     return out.withColumn("status", F.when(F.col("required") > available, "error").when(F.col("comfortable") > available, "warn").otherwise("ok"))
 
 
-def children_by_dir(df: DataFrame) -> DataFrame:
-    """Rows (dir, n, children): each directory's entries, sorted by path."""
-    return df.withColumn("dir", parent(F.col("path"))).groupBy("dir").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("path", "size"))).alias("children"))
+def children_by_dir(df: DataFrame, chunk: int = 1000) -> DataFrame:
+    """Rows (dir, chunk, n, children): each directory's entries (path, size), dealt into chunks of about that many by a hash
+    of the path and sorted within each; n counts a chunk's entries. So no row holds a directory whole, however many
+    entries it has."""
+    of = df.select(parent(F.col("path")).alias("dir"), "path", "size")
+    parts = of.groupBy("dir").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    dealt = of.join(parts, "dir").withColumn("chunk", (F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % F.col("parts")).cast("int"))
+    return dealt.groupBy("dir", "chunk").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("path", "size"))).alias("children"))
 
 
 def perf_metrics(log: DataFrame, limit: float | None = None) -> DataFrame:
@@ -66,11 +71,22 @@ def perf_metrics(log: DataFrame, limit: float | None = None) -> DataFrame:
     return out.withColumn("utilisation", F.col("avg_speed") / limit * 100 if limit else F.lit(None).cast("double"))
 
 
+def error_rows(results: DataFrame) -> DataFrame:
+    """Rows (path, error, action) of the results that failed."""
+    return results.where("error is not null").select("path", "error", "action")
+
+
 def error_threshold(results: DataFrame, max_errors: int) -> DataFrame:
     """One row (errors, abort) of results with `error`; 0 collects all."""
     return results.agg(F.count("error").alias("errors")).withColumn("abort", F.lit(max_errors > 0) & (F.col("errors") >= max_errors))
 
 
+def check_errors(results: DataFrame, max_errors: int) -> None:
+    """Raises where the threshold is reached."""
+    if (found := error_threshold(results, max_errors).first())["abort"]:
+        raise ValueError(f"{found['errors']} errors, {max_errors} are the limit")
+
+
 def plan_text(plan: DataFrame) -> DataFrame:
     """Rows (path, text) that tell what a run would do; skipped rows have none."""
     size = F.concat(F.lit(" ("), format_bytes(F.col("src_size")), F.lit(")"))
@@ -81,10 +97,22 @@ def plan_text(plan: DataFrame) -> DataFrame:
     return plan.select("path", text.alias("text")).where("text is not null")
 
 
-def events_json(plan: DataFrame) -> DataFrame:
-    """Rows (value): one JSON event for each row of a plan and a summary, ready for write.text()."""
-    rows = plan.select(F.to_json(F.struct(F.col("action").alias("type"), "path", F.col("src_size").alias("size"))).alias("value"))
-    return rows.unionByName(summarize(plan).select(F.to_json(F.struct(F.lit("summary").alias("type"), "created", "updated", "skipped", "deleted", "bytes_to_transfer")).alias("value")))
+def events_json(plan: DataFrame, results: DataFrame | None = None, source: str | None = None, destination: str | None = None, verified: DataFrame | None = None, performance: DataFrame | None = None) -> DataFrame:
+    """Rows (value): JSON events, ready for write.text(): with source and destination a start; one for each row of the plan; one for
+    each failed row (path, error, action) of results; the summary; with verified, the rows (path, status) of verify(), a
+    verification_result for each path that isn't matched, and one with the counts; with performance, the row of perf_metrics()."""
+    event = lambda kind, *columns: F.to_json(F.struct(F.lit(kind).alias("type"), *columns)).alias("value")
+    out = plan.select(F.to_json(F.struct(F.col("action").alias("type"), "path", F.col("src_size").alias("size"))).alias("value"))
+    out = out.unionByName(summarize(plan).select(event("summary", "created", "updated", "skipped", "deleted", "bytes_to_transfer")))
+    if source is not None:
+        out = out.unionByName(plan.agg(F.count("*").alias("total_files")).select(event("start", F.lit(source).alias("source"), F.lit(destination).alias("destination"), "total_files")))
+    if results is not None:
+        out = out.unionByName(error_rows(results).select(event("error", "path", "error", "action")))
+    if verified is not None:
+        out = out.unionByName(verified.where("status <> 'matched'").select(event("verification_result", "path", "status")))
+        counts = [F.count_if(F.col("status") == s).alias(s) for s in ("matched", "mismatched", "only_source", "only_dest")]
+        out = out.unionByName(verified.agg(*counts).select(event("verification_result", "matched", "mismatched", "only_source", "only_dest")))
+    return out if performance is None else out.unionByName(performance.select(event("performance", *performance.columns)))
 
 
 def explode_acls(df: DataFrame) -> DataFrame:
@@ -95,14 +123,14 @@ def explode_acls(df: DataFrame) -> DataFrame:
 
 
 def encode_xattrs(xattrs: Column) -> Column:
-    """A map of binary values as base64 text."""
-    return F.transform_values(xattrs, lambda k, v: F.base64(v))
+    """A map of binary values as base64 text, without line breaks."""
+    return F.transform_values(xattrs, lambda k, v: F.regexp_replace(F.base64(v), "[\r\n]+", ""))
 
 
 def decode_xattrs(xattrs: Column) -> Column:
     """The inverse; entries that aren't base64 are dropped."""
-    fine = F.map_filter(xattrs, lambda k, v: v.rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
-    return F.transform_values(fine, lambda k, v: F.unbase64(v))
+    read = F.transform_values(xattrs, lambda k, v: F.try_to_binary(v, F.lit("base64")))
+    return F.map_filter(read, lambda k, v: v.isNotNull())
 
 
 def keep_attributes(df: DataFrame, keep: set[str] = frozenset(), all_of: tuple[str, ...] = ("xattrs", "acls", "flags")) -> DataFrame:

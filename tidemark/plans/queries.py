@@ -41,6 +41,13 @@ def tree(t: Tables) -> DataFrame:
 # --- sources
 
 
+@query("SELECT 'bucket/a/' || path AS key, path FROM src")
+def object_keys(t):
+    of = t.src().select(F.concat(F.lit("/"), "path").alias("path"))
+    keys = of.select(paths.path_to_key(F.col("path"), "bucket/a/").alias("key"))
+    return keys.select("key", paths.key_to_path(F.col("key"), "bucket/a").alias("path"))
+
+
 @query("SELECT substr(path, 6) AS path, size, is_dir FROM src WHERE path LIKE 'src0/%'")
 def object_inventory(t):
     keys = t.src().select(F.col("path").alias("key"), "size", "mtime")
@@ -140,9 +147,9 @@ def acl_rows(t):
     return summaries.explode_acls(t.src().select("path", acls.alias("acls")))
 
 
-@query("SELECT path, base64(encode(substr(content, 1, 20))) AS encoded, true AS same FROM src")
+@query("SELECT path, base64(encode(content)) AS encoded, true AS same FROM src")
 def xattr_codec(t):
-    of = t.src().select("path", F.create_map(F.lit("user.head"), F.substring("content", 1, 20).cast("binary")).alias("x")).withColumn("e", summaries.encode_xattrs(F.col("x")))
+    of = t.src().select("path", F.create_map(F.lit("user.head"), F.col("content").cast("binary")).alias("x")).withColumn("e", summaries.encode_xattrs(F.col("x")))
     return of.select("path", F.col("e")["user.head"].alias("encoded"), (summaries.decode_xattrs(F.col("e"))["user.head"] == F.col("x")["user.head"]).alias("same"))
 
 
@@ -186,13 +193,12 @@ def plan_deletes(t):
 
 
 def full_plan(t: Tables) -> DataFrame:
-    src, dst = t.src(), t.dst()
-    return compare.plan_oneway(src, dst).unionByName(compare.plan_deletes(src, dst))
+    return compare.plan_sync(t.src(), t.dst())
 
 
 @query("SELECT path, size, md5(content) AS checksum FROM src JOIN oneway USING (path) WHERE action IN ('create', 'update') UNION ALL SELECT path, size, md5(content) FROM dst JOIN oneway USING (path) WHERE action = 'skip'")
 def apply_oneway(t):
-    return compare.apply_plan(t.src(), t.dst(), full_plan(t)).select("path", "size", F.md5("content").alias("checksum"))
+    return compare.synchronise(summed(t.src()).drop("content"), summed(t.dst()).drop("content")).select("path", "size", "checksum")
 
 
 @query("SELECT coalesce(sum(CASE WHEN action = 'create' THEN src_size END), 0)::BIGINT AS bytes_would_add, coalesce(sum(CASE WHEN action = 'update' THEN src_size END), 0)::BIGINT AS bytes_would_change, coalesce(sum(CASE WHEN action = 'delete' THEN dst_size END), 0)::BIGINT AS bytes_would_delete FROM plan")
@@ -226,9 +232,8 @@ def verify_summary(t):
 
 @query("SELECT count(*) AS verified, 0::BIGINT AS failures FROM oneway WHERE action IN ('create', 'update')")
 def verify_apply(t):
-    src = summed(t.src())
-    plan = full_plan(t)
-    return compare.verify_apply(src, summed(compare.apply_plan(t.src(), t.dst(), plan)), plan)
+    src, dst = summed(t.src()).drop("content"), summed(t.dst()).drop("content")
+    return compare.verify_apply(src, compare.synchronise(src, dst), compare.plan_sync(src, dst))
 
 
 @query("SELECT path, action FROM plan WHERE path NOT IN (SELECT path FROM src WHERE k % 6 = 0)")
@@ -332,10 +337,12 @@ def capacity_check(t):
     return summaries.capacity_check(full_plan(t), 1_000_000)
 
 
-@query(f"SELECT {_PARENT} AS dir, count(*) AS n, string_agg(path || '=' || size, ';' ORDER BY path) AS children FROM src GROUP BY 1")
+@query(f"""AND c AS (SELECT {_PARENT} AS dir, path, size FROM src), p AS (SELECT dir, (count(*) + 39) // 40 AS parts FROM c GROUP BY dir),
+h AS (SELECT c.*, parts, ('0x' || md5(path)[1:8])::BIGINT % parts AS chunk FROM c JOIN p USING (dir))
+SELECT dir, chunk::INT AS chunk, count(*) AS n, string_agg(path || '=' || size, ';' ORDER BY path) AS children FROM h GROUP BY 1, 2""")
 def children_by_dir(t):
-    of = summaries.children_by_dir(t.src())
-    return of.select("dir", "n", F.array_join(F.transform("children", lambda c: F.concat(c["path"], F.lit("="), c["size"].cast("string"))), ";").alias("children"))
+    of = summaries.children_by_dir(t.src(), 40)
+    return of.select("dir", "chunk", "n", F.array_join(F.transform("children", lambda c: F.concat(c["path"], F.lit("="), c["size"].cast("string"))), ";").alias("children"))
 
 
 @query("AND s AS (SELECT count(*) AS files, sum(l_quantity) AS bytes, sum(l_linenumber) AS transfer_seconds, sum(l_linenumber) * 2 AS total_seconds FROM lineitem) SELECT round(bytes / transfer_seconds, 6) AS avg_speed, round(files::DOUBLE / total_seconds, 6) AS files_per_second, round(bytes / transfer_seconds / 20 * 100, 6) AS utilisation FROM s")
@@ -349,6 +356,12 @@ def error_threshold(t):
     return summaries.error_threshold(t.events.select(F.when(F.col("event_type") == "error", F.col("props")).alias("error")), 100)
 
 
+@query("SELECT 'e/' || event_id AS path, event_type AS error, 'update' AS action FROM events WHERE event_type = 'error'")
+def error_rows(t):
+    kind = F.col("event_type")
+    return summaries.error_rows(t.events.select(F.concat(F.lit("e/"), F.col("event_id").cast("string")).alias("path"), F.when(kind == "error", kind).alias("error"), F.lit("update").alias("action")))
+
+
 # --- checksums, blocks, compression
 
 
@@ -449,10 +462,10 @@ def sparse_roundtrip(t):
     return blocks.rebuild_sparse(kept, sizes).select("path", F.md5("content").alias("checksum"), F.octet_length("content").cast("long").alias("size"))
 
 
-@query("SELECT page_id AS k, page_id % 7 IN (0, 1, 4) AS compressed FROM pages")
+@query("SELECT page_id AS k, page_id % 11 IN (0, 1, 4, 7, 8) AS compressed FROM pages")
 def compressed_ext(t):
     k = F.col("page_id")
-    name = F.element_at(F.array(*map(F.lit, ["a/b.zip", "x.tar.gz", "c.txt", "zip", "M.JPG", "d.tar", "e"])), (k % 7 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ["a/b.zip", "x.tar.gz", "c.txt", "zip", "M.JPG", "d.tar", "e", "q.Heif", "r.wasm", "s.lz4", "t.odt"])), (k % 11 + 1).cast("int"))
     return t.pages.select(k.alias("k"), blocks.is_compressed(name).alias("compressed"))
 
 
@@ -523,14 +536,19 @@ UNION ALL SELECT path, size, md5(content) FROM {other} WHERE path IN (SELECT pat
 UNION ALL SELECT a.{name}, o.size, md5(o.content) FROM {own} o JOIN actions a USING (path) WHERE a.action = 'RenameConflict'"""
 
 
+def light(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Both sides with checksums for contents."""
+    return summed(t.src()).drop("content"), summed(t.dst()).drop("content")
+
+
 @query(_applied_sql("src", "dst", "CopyToSource", "DeleteFromSource", "conflict_source_path"))
 def bisync_apply_source(t):
-    return merge.apply_merge(t.src(), t.dst(), resolved(t, "newer"))[0].select("path", "size", F.md5("content").alias("checksum"))
+    return merge.apply_merge(*light(t), resolved(t, "newer"))[0].select("path", "size", "checksum")
 
 
 @query(_applied_sql("dst", "src", "CopyToDest", "DeleteFromDest", "conflict_dest_path"))
 def bisync_apply_dest(t):
-    return merge.apply_merge(t.src(), t.dst(), resolved(t, "newer"))[1].select("path", "size", F.md5("content").alias("checksum"))
+    return merge.apply_merge(*light(t), resolved(t, "newer"))[1].select("path", "size", "checksum")
 
 
 @query(f"""AND {_actions_sql('newer')}, new AS (SELECT path, 'dest' AS side, winner_mt AS mt, winner_size AS size FROM actions WHERE action = 'CopyToDest' UNION ALL SELECT path, 'source', winner_mt, winner_size FROM actions WHERE action = 'CopyToSource'
@@ -556,9 +574,17 @@ def bisync_deletion_guard(t):
     return merge.merge_deletion_guard(changed(t), 25)
 
 
-@query(f"AND {_actions_sql('source')}, n AS (SELECT path FROM src WHERE path NOT IN (SELECT path FROM actions WHERE action IN ('CopyToSource', 'DeleteFromSource')) UNION SELECT path FROM dst WHERE path IN (SELECT path FROM actions WHERE action = 'CopyToSource')) SELECT count(*) AS paths FROM n")
+@query(f"""AND {_actions_sql('source')}, w AS (SELECT * FROM actions WHERE action IN ('CopyToDest', 'CopyToSource')),
+new AS (SELECT path, 'source' AS side, winner_size AS size, winner_mt AS mt FROM w UNION ALL SELECT path, 'dest', winner_size, winner_mt FROM w)
+SELECT 'source' AS "table", '' AS side, path, size, mt AS mtime FROM src WHERE path NOT IN (SELECT path FROM actions WHERE action IN ('CopyToSource', 'DeleteFromSource'))
+UNION ALL SELECT 'source', '', path, size, mt FROM dst WHERE path IN (SELECT path FROM actions WHERE action = 'CopyToSource')
+UNION ALL SELECT 'dest', '', path, size, mt FROM dst WHERE path NOT IN (SELECT path FROM actions WHERE action IN ('CopyToDest', 'DeleteFromDest'))
+UNION ALL SELECT 'dest', '', path, size, mt FROM src WHERE path IN (SELECT path FROM actions WHERE action = 'CopyToDest')
+UNION ALL SELECT 'state', side, path, size, mt FROM (SELECT path, side, size, mt FROM state WHERE path NOT IN (SELECT path FROM w) AND path NOT IN (SELECT path FROM actions WHERE action IN ('DeleteFromSource', 'DeleteFromDest')) UNION ALL SELECT path, side, size, mt FROM new)""")
 def bisync_end_to_end(t):
-    return merge.bisync(t.src(), t.dst(), t.state(), now(), "source", percent=90)[0].agg(F.count("*").alias("paths"))
+    src, dst, kept = merge.bisync(*(df.select("path", "size", "mtime", "is_dir") for df in (t.src(), t.dst())), t.state(), now(), "source", percent=90)
+    row = lambda df, name, side: df.select(F.lit(name).alias("table"), side.alias("side"), "path", "size", *micros("mtime"))
+    return row(src, "source", F.lit("")).unionByName(row(dst, "dest", F.lit(""))).unionByName(row(kept, "state", F.col("side")))
 
 
 # --- scalar functions

@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import key_to_path, relative_to
+from ..functions.paths import ancestors, key_to_path, relative_to
 
 
-def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Files below root: path relative to it, size, mtime, is_dir. Contents are read only if asked for."""
+def scan_tree(spark: SparkSession, root: str, content: bool = False, dirs: bool = True, links: DataFrame | None = None) -> DataFrame:
+    """What lies below root: path relative to it, size, mtime, is_dir, is_symlink, symlink_target. Contents are read only if
+    asked for; directories have none.
+
+    With dirs each directory that has a file somewhere below it is a row, of size 0 and the time of its latest file, as
+    Spark's readers list files alone. They also read through symbolic links; `links`, rows (path, target) of a listing that knows them,
+    puts a link's row in the place of the file's, with the target kept and not followed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     bare = "/" + root.split(":", 1)[-1].lstrip("/")
-    out = files.select(relative_to(plain, bare).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"), "content")
-    return out if content else out.drop("content")
+    none = F.lit(None).cast("string")
+    out = files.select(relative_to(plain, bare).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), none.alias("symlink_target"), "content")
+    if not content:
+        out = out.drop("content")
+    if dirs:
+        above = out.select(F.explode(ancestors(F.col("path"))).alias("path"), "mtime").groupBy("path").agg(F.max("mtime").alias("mtime"))
+        rows = above.select("path", F.lit(0).cast("long").alias("size"), "mtime", F.lit(True).alias("is_dir"), F.lit(False).alias("is_symlink"), none.alias("symlink_target"))
+        out = out.unionByName(rows, allowMissingColumns=True)
+    if links is not None:
+        known = links.select("path", F.col("target").alias("__target"))
+        out = out.join(known, "path", "left").withColumns({"is_symlink": F.col("__target").isNotNull(), "symlink_target": F.col("__target")}).drop("__target")
+    return out
 
 
 def scan_objects(inventory: DataFrame, prefix: str) -> DataFrame:
@@ -45,11 +61,13 @@ def changes_only(events: DataFrame) -> DataFrame:
     return events.where(F.col("kind").isin("create", "modify", "remove"))
 
 
-def change_stream(spark: SparkSession, folder: str, schema: str, max_files: int | None = None) -> DataFrame:
-    """Change events from parquet files as they arrive in a folder; max_files holds back what one trigger takes."""
+def change_stream(spark: SparkSession, folder: str, schema: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Change events from parquet files as they arrive in a folder; max_files or max_bytes holds back what one trigger takes."""
+    if max_files and max_bytes:
+        raise ValueError("max_files and max_bytes exclude one another")
     reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    for name, most in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        reader = reader.option(name, most) if most else reader
     return changes_only(reader.parquet(folder))
 
 

@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def watch(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "1 second"):
-    """Run handler(changes, batch) whenever changes are pending and the interval since the last run has passed; an
+def watch(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "1 second", initial: Callable[[], None] | None = None):
+    """Run initial(), a full run over everything, and then handler(changes, batch) whenever changes are pending and the interval since the last run has passed; an
     interval of None takes what is there and ends. The checkpoint remembers what was handled; a batch that fails is given
-    again under the same number, so that a handler that keeps numbers applies each once."""
+    again under the same number, so that a handler that keeps numbers applies each once. initial() runs each time that the
+    watch begins, before the stream does: what changes meanwhile is in the stream."""
 
     def run(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             handler(batch, number)
 
+    if initial:
+        initial()
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 

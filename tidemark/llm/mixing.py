@@ -71,18 +71,24 @@ def mixed_sizes(docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] =
 def mix_sources(docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as they were.
 
-    Documents of a source without words are not taken. Other columns may have any name.
+    Documents of a source without words are not taken; null and empty texts count as no words and follow their source's
+    rate. Repeated rows are drawn alike, as their ids are equal; so are null ids. Other columns may have any name. Empty input gives no
+    rows.
     """
     sizes = materialise(docs.select("source", word_count(F.col("text")).alias("size")), "sizes")
     t = source_targets(sizes, max_repeat, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = broadcast_if_small(t.select(F.col("source").alias("__mix_source"), rate.alias("__mix_rate")), BROADCAST_SOURCES)
-    joined = docs.join(t, docs["source"].eqNullSafe(F.col("__mix_source")))
-    taken = joined.withColumn("__mix_copies", copies(F.col("doc_id"), F.col("__mix_rate"), seed)).where("__mix_copies > 0")
-    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
+    # names that no column of the documents has
+    name = max(map(len, docs.columns)) * "_"
+    of, at, n = (f"{name}_{x}" for x in ("source", "rate", "copies"))
+    t = broadcast_if_small(t.select(F.col("source").alias(of), rate.alias(at)), BROADCAST_SOURCES)
+    joined = docs.join(t, docs["source"].eqNullSafe(t[of]))
+    taken = joined.withColumn(n, copies(F.col("doc_id"), F.col(at), seed)).where(F.col(n) > 0)
+    return taken.withColumn(of, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixed_sizes() of all documents, with weights 1, 2, 3 and three repeats at most."""
     return mixed_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

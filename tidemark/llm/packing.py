@@ -148,4 +148,5 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, window: int = 2048, to
 
 
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() of all documents into sequences of 1,024 ids of byte_bpe_50k.json."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -171,5 +171,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality() of all documents, learnt from 1,500 labelled ones of each quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -49,7 +49,10 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for lo in range(0, b.num_rows, 1024):
                 piece, starts, ns, raw = b.slice(lo, 1024), [], [], []
                 for text in piece.column(1):
-                    ids = np.append(bpe.ids(text.as_py()), np.uint32(end_id)).astype("<u2")
+                    ids = np.append(bpe.ids(text.as_py()), np.uint32(end_id))
+                    if ids.max() > 0xFFFF:
+                        raise ValueError("ids of a shard are 16-bit numbers, and this vocabulary has larger ones")
+                    ids = ids.astype("<u2")
                     starts.append(at)
                     ns.append(len(ids))
                     raw.append(ids.tobytes())
@@ -64,6 +67,7 @@ def token_shards(docs: DataFrame, length: int = 1024, shard_slots: int = 1024, k
     doc_starts of the documents in it, ids_crc32 and ids, a record of 2 * length bytes (little-endian 16-bit).
 
     The documents' ids, each document closed by end_id, make one stream in the order in which Spark reads the rows; it
+    (so another layout of the files gives another stream; sort the table first to be free of that)
     is cut every `length` ids, and only the last sequence is filled up with end_id (n_tokens tells how far it goes).
     feistel() gives every sequence its slot. A partition holds a range of whole shards in slot order, so that a shard is
     written and read as one run, and a reader that stopped after slot s goes on at s + 1. Null and empty texts are
@@ -134,7 +138,8 @@ def token_shards(docs: DataFrame, length: int = 1024, shard_slots: int = 1024, k
 
 def write_token_shards(shards: DataFrame, uri: str) -> DataFrame:
     """Write each shard of token_shards() to one raw file `shard-<number>.bin` under uri (file:, s3:, hdfs: or gs:), and
-    return rows (shard, path, records, first_slot). A file appears whole, by a rename; a task that runs again writes the same bytes."""
+    return rows (shard, path, records, first_slot). A file appears whole, by a move from another
+    name (a rename, or a copy on object stores); a task that runs again writes the same bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -182,4 +187,5 @@ def read_token_shard(uri: str, shard: int, length: int = 1024, from_record: int
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_shards() of all documents: sequences of 1,024 ids of byte_bpe_50k.json, 1,024 in a shard."""
     return token_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))

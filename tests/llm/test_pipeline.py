@@ -94,3 +94,28 @@ def test_packing_stage(spark, sf_dir, stages):
     for r in corpus_pipeline.run(spark, sf_dir).collect():
         whole[r.doc_id] += r.length
     assert whole == want
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_any_table(spark, tmp_path, k):
+    """Null and empty texts, null ids and sources, repeated rows, ids at both ends, columns with other steps' names; no rows."""
+    name, stage = corpus_pipeline.STAGES[k]
+    text = "pay 4111111111111111 or mail a.b@c.example " + " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "s"), (1, text, "s"), (2, None, "s"), (3, "", None), (None, text + " more", None), (2**63 - 1, text, "t"), (-(2**63), "x", "t"), (4, text + " end", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 as __mix_rate", "2 as n", "3 as prefix", "'k' as kept", "4 as component", "5 as score", "6 as size", "7 as label")
+    labels = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (4, 0, None), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{labels}/labels.parquet")
+    out = stage(spark, docs, labels)
+    found = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns
+    ids = Counter(r.doc_id for r in found)
+    if k == 1:
+        assert ids == Counter({-(2**63): 1, 1: 1, 2: 1, 3: 1, None: 1})
+    elif k == 2:
+        assert len(found) == len(rows) and {r.text for r in found if r.doc_id == 2} == {None}
+        assert not any("4111111111111111" in (r.text or "") for r in found) and all(r.n_chars == (r.text and len(r.text) if r.text is not None else None) for r in found if r.text)
+    elif k == 4:
+        assert sum(r.length for r in found) == sum(len(ids_of(t)) + 1 for _, t, _ in rows)
+    assert stage(spark, docs.limit(0), labels).count() == 0

@@ -437,14 +437,15 @@ class Forest:
         return best[2]
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedding", trees: int = 8, leaf_rows: int = 64, sample_rows: int = 8192, recall: float = 0.95, block: int = 8192, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedding", trees: int = 8, leaf_rows: int = 128, sample_rows: int = 8192, recall: float = 0.96, block: int = 8192, seed: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row that the condition `queries` picks, its k nearest others found.
 
     Each dimension has a forest, fitted on a sample (sample_rows vectors at most for all dimensions, by the order of a
     hash) and as deep as the number of its vectors asks for. Every vector is put into its leaf in every tree. A query first
     goes to its four best leaves a tree, which gives a distance to its k-th best; then to all further leaves within
     that distance times a share, the least share that finds `recall` of the true neighbours within the sample. With fewer
-    than k found in the first leaves, all others are gone to. Each leaf's vectors and queries are dealt out in blocks of bounded
+    than k found in the first leaves, all others are gone to; what is further than the distance to the k-th is not given out
+    there. Each leaf's vectors and queries are dealt out in blocks of bounded
     size that meet in one group, which reranks exactly and gives out k + 1 rows for a query.
     Equal vectors are searched once: of a class of equals the k + 1 smallest ids matter. Ties go to the smaller id.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; those of another
@@ -476,7 +477,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embe
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(leaf[:, t]), part.column(0), part.column(1)], ["dim", "leaf", "ids", "vec"])
 
     def to_leaves(rows: DataFrame, later: bool) -> DataFrame:
-        """Queries (k1, k2, vec, far) with the leaves that they go to at first, or later."""
+        """Queries (k1, k2, vec, last) with the leaves that they go to at first, or later; last is the cosine of the k-th
+        best so far, -2 without one."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -484,16 +486,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embe
                     forest, share = sent.value[x.shape[1]]
                     most = 4 * forest.trees
                     for lo in range(0, len(x), 64):
-                        part, far = b.take(pa.array(at[lo : lo + 64])), b.column(3).to_numpy(zero_copy_only=False)[at[lo : lo + 64]]
+                        part = b.take(pa.array(at[lo : lo + 64]))
+                        far = [math.sqrt(max(1e-12, 2 - 2 * c)) if c > -2 else math.inf for c in part.column(3).to_pylist()]
                         if later:
                             order = [forest.order(q, bound=share * d if d < math.inf else math.inf)[most:] for q, d in zip(x[lo : lo + 64], far)]
                         else:
                             order = [forest.order(q, most) for q in x[lo : lo + 64]]
                         row = pa.array(np.repeat(np.arange(len(order)), [len(o) for o in order]))
                         leaf = np.concatenate([np.array(o, np.int64) for o in order])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), x.shape[1], np.int32)), pa.array(leaf), *(part.column(c).take(row) for c in range(3))], ["dim", "leaf", "k1", "k2", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), x.shape[1], np.int32)), pa.array(leaf), *(part.column(c).take(row) for c in range(4))], ["dim", "leaf", "k1", "k2", "vec", "last"])
 
-        return materialise(rows.mapInArrow(run, f"dim int, leaf long, k1 long, k2 long, vec {kind}"), "routed")
+        return materialise(rows.mapInArrow(run, f"dim int, leaf long, k1 long, k2 long, vec {kind}, last double"), "routed")
 
     index = materialise(classes.select("ids", "vec").mapInArrow(into_leaves, f"dim int, leaf long, ids array<long>, vec {kind}"), "index")
     sizes = materialise(index.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "sizes")
@@ -507,6 +510,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embe
                 s = want.slice(lo, 512)
                 sims = unit(matrix(s.column("vec"))) @ y.T
                 least = np.partition(sims, max(0, sims.shape[1] - k - 1), axis=1)[:, max(0, sims.shape[1] - k - 1)]
+                least = np.maximum(least, s.column("last").to_numpy() - 1e-12)
                 for r, (k1, k2) in enumerate(zip(s.column("k1").to_pylist(), s.column("k2").to_pylist())):
                     found = sorted((-sims[r, c], i) for c in np.flatnonzero(sims[r] >= least[r]) for i in ids[c])[: k + 1]
                     out += [(k1, k2, i, -d) for d, i in found]
@@ -518,7 +522,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embe
         blocks = broadcast_if_small(blocks, BROADCAST_LEAVES)
         left = index.join(blocks, ["dim", "leaf"]).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("nb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
         right = routed.join(blocks, ["dim", "leaf"]).withColumn("q", F.pmod(F.xxhash64("k1", "k2"), F.col("nq")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        return left.select(*pair, "ids", "vec").groupBy(*pair).cogroup(right.select(*pair, "k1", "k2", "vec").groupBy(*pair)).applyInArrow(rerank, "k1 long, k2 long, vec_id long, score double")
+        return left.select(*pair, "ids", "vec").groupBy(*pair).cogroup(right.select(*pair, "k1", "k2", "vec", "last").groupBy(*pair)).applyInArrow(rerank, "k1 long, k2 long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         found = found.groupBy("k1", "k2", "vec_id").agg(F.max("score").alias("score"))
@@ -526,11 +530,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embe
         return materialise(found.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "best")
 
     wanted = classes.join(asked.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "vec")
-    near = best(search(to_leaves(wanted.withColumn("far", F.lit(0.0)), False)))
-    far = near.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("score").alias("last"))
-    far = far.select("k1", "k2", F.when(F.col("n") > k, F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(1e-12)))).alias("far"))
-    rest = wanted.join(far, ["k1", "k2"], "left").withColumn("far", F.coalesce("far", F.lit(math.inf)))
-    found = best(near.unionByName(search(to_leaves(rest.select("k1", "k2", "vec", "far"), True))))
+    near = best(search(to_leaves(wanted.withColumn("last", F.lit(-2.0)), False)))
+    # the query itself is among the first k + 1
+    last = near.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    last = last.select("k1", "k2", F.when(F.col("n") > k, F.col("least")).alias("last"))
+    rest = wanted.join(last, ["k1", "k2"], "left").withColumn("last", F.coalesce("last", F.lit(-2.0)))
+    found = best(near.unionByName(search(to_leaves(rest.select("k1", "k2", "vec", "last"), True))))
     of = asked.join(found, ["k1", "k2"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return of.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

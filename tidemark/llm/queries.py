@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, passages, pii, quality, token_counts, token_output, vectors
+from . import jaccard, language, mixing, packing, passages, pii, quality, spelling, token_counts, token_output, vectors, whitening
 
 QUERIES = {
     "op1_token_shards": token_output.op1_token_shards,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_nearest_vectors": vectors.op8_nearest_vectors,
     "op9_pii": pii.op9_pii,
     "op10_pack_documents": packing.op10_pack_documents,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_languages": language.op12_languages,
+    "op13_whitened_vectors": whitening.op13_whitened_vectors,
 }
 SQL = {"op3_mix_sources": mixing.OP3_SQL}

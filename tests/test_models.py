@@ -120,7 +120,10 @@ def exchanges(df):
 def test_plans_move_each_side_once(tables):
     src, dst = tables.src(), tables.dst()
     assert exchanges(compare.plan_sync(src, dst)) == exchanges(compare.synchronise(src, dst)) == (2, 1)
-    assert exchanges(blocks.block_diff(src, dst, 512)) == exchanges(blocks.verify_blocks(src, dst, 512)) == exchanges(blocks.change_ratio(src, dst, 512)) == (2, 1)
+    assert exchanges(blocks.block_diff(src, dst, 512)) == exchanges(blocks.verify_blocks(src, dst, 512)) == exchanges(blocks.change_ratio(src, dst, 512, broadcast_paths=1)) == (2, 1)
+    assert exchanges(blocks.change_ratio(src, dst, 512)) == (0, 1)
+    assert blocks.change_ratio(src, dst, 512).exceptAll(blocks.change_ratio(src, dst, 512, broadcast_paths=1)).isEmpty()
+    assert exchanges(state.flag_cache(tables.cache(), src)) == (2, 1)
     plan = src.select("path", F.lit("skip").alias("action"))
     assert exchanges(compare.apply_plan(src, dst, plan)) == (1, 0)
 
@@ -292,7 +295,7 @@ def test_write_and_scan(spark, tables, tmp_path, codec):
     (tmp_path / "t/d/e").mkdir()
     (tmp_path / "t/d/e/y").write_bytes(b"1")
     links = spark.createDataFrame([("d/e/y", "../x.bin")], "path string, target string")
-    found = snapshots.scan_tree(spark, str(tmp_path / "t"), links=links)
+    found = snapshots.scan_tree(spark, str(tmp_path / "t"), links=links).drop("inode", "nlink", "blocks", "error")
     assert sorted((r.path, r.size, r.is_dir, r.symlink_target) for r in found.collect()) == [("d", 0, True, None), ("d/e", 0, True, None), ("d/e/y", 1, False, "../x.bin"), ("d/x.bin", 5, False, None)]
     rows = snapshots.scan_tree(spark, str(tmp_path / "t"), content=True, dirs=False)
     assert sorted((r.path, bytes(r.content)) for r in rows.collect()) == [("d/e/y", b"1"), ("d/x.bin", b"12345")]

@@ -87,16 +87,43 @@ def block_diff(src: DataFrame, dst: DataFrame, size: int) -> DataFrame:
     return met.select("path", F.size("x").cast("long").alias("blocks"), F.size("other").cast("long").alias("changed"), literal.alias("literal_bytes"))
 
 
-def change_ratio(src: DataFrame, dst: DataFrame, size: int, samples: int = 20, threshold: float = 0.75) -> DataFrame:
+#: Destination paths, each with the hashes of its sampled blocks, that are broadcast.
+BROADCAST_PATHS = 50_000
+
+
+def sampled_hashes(df: DataFrame, size: int, samples: int) -> DataFrame:
+    """Rows (path, n, blocks, places, hashes): the numbers of evenly spaced blocks of the content and their MD5s. Places may
+    repeat, as a step is a whole number of blocks."""
+    of = df.select("path", F.col("content").cast("binary").alias("content")).withColumn("n", F.octet_length("content").cast("long"))
+    of = of.withColumn("blocks", F.expr(f"(n + {size - 1}) div {size}")).withColumn("k", F.least(F.lit(samples).cast("long"), "blocks"))
+    step = F.when(F.col("k") > 1, F.expr("blocks div (k - 1)")).otherwise(0)
+    places = F.when(F.col("k") > 0, F.expr("transform(sequence(0L, k - 1), i -> cast(least(i * step, blocks - 1) as int))")).otherwise(F.array().cast("array<int>"))
+    of = of.withColumn("step", step).withColumn("places", places)
+    return of.select("path", "n", "blocks", "places", F.expr(f"transform(places, i -> md5(substring(content, i * {size} + 1, {size})))").alias("hashes"))
+
+
+def change_ratio(src: DataFrame, dst: DataFrame, size: int, samples: int = 20, threshold: float = 0.75, broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
     """Rows (path, ratio, samples, use_delta) for paths on both sides: the share of evenly spaced destination blocks that
-    differ from the source's. Where the sizes differ by more than half of the destination's, the difference itself."""
-    j = _sides(src, dst, size).select("path", F.col("x_n").alias("ss"), F.col("y_n").alias("ds"), "x", "y")
-    apart = F.when(F.col("ds") == 0, F.when(F.col("ss") == 0, 0.0).otherwise(1.0)).otherwise(F.abs(F.col("ss") - F.col("ds")) / F.col("ds"))
-    j = j.withColumn("apart", apart).withColumn("blocks", F.size("y").cast("long")).withColumn("n", F.least(F.lit(samples).cast("long"), "blocks"))
-    j = j.withColumn("step", F.when(F.col("n") > 1, F.expr("blocks div (n - 1)")).otherwise(0))
-    quick = (F.col("apart") > 0.5) | (F.col("ds") == 0)
-    differ = F.size(F.expr("filter(transform(sequence(0L, n - 1), i -> cast(least(i * step, blocks - 1) as int)), p -> not (get(x, p) <=> y[p]))"))
-    out = j.select("path", F.when(quick, F.least("apart", F.lit(1.0))).otherwise(differ / F.col("n")).alias("ratio"), F.when(quick, 0).otherwise(F.col("n")).cast("long").alias("samples"))
+    differ from the source's. Where the sizes differ by more than half of the destination's, the difference itself.
+
+    A destination's size says which blocks are looked at, so it hashes these alone. Up to broadcast_paths of such rows go to
+    the sources, which hash the same blocks where they are read, and none where the sizes decide; no content moves. Of more
+    paths each source hashes its blocks, as moving contents to their samples would cost more, and the hashes are joined.
+    """
+    asked = sampled_hashes(dst, size, samples).select("path", F.col("n").alias("ds"), F.col("places"), F.col("hashes").alias("y"))
+    ss, ds = F.col("ss"), F.col("ds")
+    apart = F.when(ds == 0, F.when(ss == 0, 0.0).otherwise(1.0)).otherwise(F.abs(ss - ds) / ds)
+    quick = (apart > 0.5) | (ds == 0)
+    if dst.select("path").limit(broadcast_paths + 1).count() <= broadcast_paths:
+        of = src.select("path", F.col("content").cast("binary").alias("content")).withColumn("ss", F.octet_length("content").cast("long"))
+        j = of.join(F.broadcast(asked), "path").withColumn("quick", quick).withColumn("apart", apart)
+        own = F.expr(f"transform(if(quick, array(), places), i -> if(i * {size}L < ss, md5(substring(content, i * {size} + 1, {size})), null))")
+        j = j.select("path", "ss", "ds", "places", "y", "quick", "apart", own.alias("x"))
+    else:
+        j = block_hashes(src, size).select("path", F.col("n").alias("ss"), F.col("hashes").alias("all")).join(asked, "path").withColumn("quick", quick).withColumn("apart", apart)
+        j = j.withColumn("x", F.expr("transform(places, i -> get(`all`, i))"))
+    differ = F.size(F.expr("filter(sequence(0, size(places) - 1), i -> not (x[i] <=> y[i]))"))
+    out = j.select("path", F.when(F.col("quick"), F.least("apart", F.lit(1.0))).otherwise(differ / F.size("places")).alias("ratio"), F.when(F.col("quick"), 0).otherwise(F.size("places")).cast("long").alias("samples"))
     return out.withColumn("use_delta", F.col("ratio") <= threshold)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import ancestors
 from .tables import stored
 
 MODES = ("mtime", "size", "ignore_times", "checksum")
@@ -37,8 +38,9 @@ def _changed(mode: str) -> Column:
         return F.coalesce(F.col("src_checksum") != F.col("dst_checksum"), F.lit(True))
     if mode == "ignore_times":
         return F.lit(True)
-    sizes = F.col("src_size") != F.col("dst_size")
-    return sizes if mode == "size" else sizes | ~same_time(F.col("src_mtime"), F.col("dst_mtime"))
+    # what is unknown on either side may differ
+    sizes = F.coalesce(F.col("src_size") != F.col("dst_size"), F.lit(True))
+    return sizes if mode == "size" else sizes | ~F.coalesce(same_time(F.col("src_mtime"), F.col("dst_mtime")), F.lit(False))
 
 
 def _action(mode: str) -> Column:
@@ -52,7 +54,8 @@ def plan_oneway(src: DataFrame, dst: DataFrame, mode: str = "mtime") -> DataFram
     """Rows (path, action, is_dir, src_size, dst_size, src_mtime, dst_mtime) for every source row: create, update or skip.
 
     A directory that exists is skipped. A file is updated if sizes differ or times do (mtime), if sizes differ (size),
-    always (ignore_times), or if checksums differ or one is unknown (checksum).
+    always (ignore_times), or if checksums differ (checksum); a size, time or checksum that is unknown on either side counts as
+    different.
     """
     j = _named(src, "src").join(_named(dst, "dst"), "path", "left")
     return j.withColumn("action", _action(mode)).withColumn("is_dir", F.col("src_is_dir")).select(*_PLAN)
@@ -159,20 +162,59 @@ def symlink_plan(df: DataFrame, mode: str) -> DataFrame:
     return plain.unionByName(links.join(files, "symlink_target").select("path", F.lit("copy").alias("kind"), F.col("symlink_target").alias("source")))
 
 
+#: Paths longer than this no system resolves.
+LONGEST_PATH = 4096
+
+
+def resolve_links(df: DataFrame) -> DataFrame:
+    """Rows (path, target) of the links (path, symlink_target; targets are paths of the same tree): where each leads once
+    no part of the target is a link any more; null for a chain of links that never ends.
+
+    Each step replaces the longest beginning of a target that is a link by what that link leads to by then, so that the
+    distance followed doubles. A link that goes in circles alone stays; as soon as as many steps as a target has names settle
+    none, what is left goes in circles. Repeated rows of a path count once, with the smallest target.
+    """
+    links = df.where("is_symlink and path is not null").groupBy("path").agg(F.min("symlink_target").alias("target")).where("target is not null")
+    at = stored(links.select("path", "target", F.lit(False).alias("done")))
+    still, idle = None, 0
+    while True:
+        state = at.where("not done").agg(F.count("*"), F.coalesce(F.max(F.size(F.split("target", "/"))), F.lit(0))).first()
+        idle = idle + 1 if state[0] == still else 0
+        still = state[0]
+        if not still or idle > state[1]:
+            break
+        known = at.select(F.col("path").alias("begin"), F.col("target").alias("to"))
+        open_ = at.where("not done")
+        begins = open_.select("path", "target", F.explode(F.concat(ancestors(F.col("target")), F.array("target"))).alias("begin"))
+        hop = begins.join(known, "begin").groupBy("path", "target").agg(F.max_by(F.struct("begin", "to"), F.length("begin")).alias("h"))
+        rest = F.substring("target", F.length("h.begin") + F.lit(1), F.length("target"))
+        joined = F.when(F.col("h.to") == "", F.regexp_replace(rest, "^/", "")).otherwise(F.concat("h.to", rest))
+        moved = hop.select("path", joined.alias("next"))
+        step = open_.join(moved, "path", "left").select("path", F.coalesce("next", "target").alias("target"), F.col("next").isNull().alias("done"))
+        at = stored(at.where("done").unionByName(step.where(F.length("target") <= LONGEST_PATH)))
+    settled = at.where("done").select("path", "target")
+    return links.select("path").join(settled, "path", "left")
+
+
 def symlink_loops(df: DataFrame) -> DataFrame:
-    """Paths of links whose chain never ends: it leads into a cycle. Each step doubles the distance that every chain is
-    followed and drops those that have ended; when a step drops none, what is left goes in circles. So n steps follow
-    2 ** n links, and chains of any length that end are no loops."""
-    hop = df.where("is_symlink").select(F.col("path").alias("at"), F.col("symlink_target").alias("to"))
-    left = hop.count()
-    while left:
-        nxt = hop.select(F.col("at").alias("mid"), F.col("to").alias("far"))
-        hop = hop.join(nxt, hop["to"] == nxt["mid"]).select("at", F.col("far").alias("to"))
-        hop = stored(hop)
-        before, left = left, hop.count()
-        if left == before:
+    """Paths of links that a walk which follows links never comes to the end of: chains of links in circles, links to a
+    directory above them, directories that lead into one another, and links that lead to any of these.
+
+    A link is endless if its target, as resolved, is or holds an endless link. Each step keeps the links whose target is
+    a directory above a link that is left, until none goes: links meet the directories above the links, never one another.
+    """
+    to = stored(resolve_links(df))
+    circles = to.where("target is null").select("path")
+    left = to.where("target is not null")
+    n = left.count()
+    while n:
+        ends = left.select("path").unionByName(circles)
+        holds = ends.select(F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("path")), F.array("path"))).alias("target")).distinct()
+        left = stored(left.join(holds, "target", "left_semi").select("path", "target"))
+        before, n = n, left.count()
+        if n == before:
             break
-    return hop.select(F.col("at").alias("path")).distinct()
+    return circles.unionByName(left.select("path"))
 
 
 def incremental_scan(fresh: DataFrame, dirs: DataFrame, dir_cache: DataFrame, file_cache: DataFrame) -> DataFrame:

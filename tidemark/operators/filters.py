@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, basename, glob_to_regex
+from ..functions.paths import ancestors, basename, glob_to_regex, parent
+from .tables import stored
 
 
 @dataclass(frozen=True)
@@ -112,35 +114,106 @@ def filter_size(df: DataFrame, lo: int | None = None, hi: int | None = None) ->
     return df.where(F.col("is_dir") | fits)
 
 
-def _fits(regex: str) -> Callable[[Column], Column]:
-    return lambda part: part.rlike(regex)
-
-
-def apply_ignore(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Ignore files: rules (folder of the file, line). Patterns hold below their folder; of all that match, the one in the
-    deepest folder and then the last one decides, and `!` takes a path back in. A pattern without a slash matches any
-    part of the path below the folder; one that ends in a slash matches directories only, and so what is in them. What is
-    in `.git` goes. Without a column is_dir all rows are files."""
-    is_dir = F.col("is_dir") if "is_dir" in df.columns else F.lit(False)
-    path, at = F.col("path"), F.struct(F.lit(-1).alias("depth"), F.lit(-1).alias("idx"), F.lit(False).alias("ignored"))
-    found = [at]
-    for idx, (folder, line) in enumerate(rules):
-        line = line.strip()
-        if not line or line.startswith("#"):
+def ignore_regex(line: str) -> tuple[str, bool, bool] | None:
+    """(regular expression for a path below the file's folder, whether the line takes back in, whether it is for directories
+    only) of a line of an ignore file; None for blank lines and comments. `*`, `?` and classes don't match slashes, `**`
+    stands for any number of directories; a pattern with a slash that isn't the last character counts from the folder."""
+    line = line.rstrip("\r\n")
+    bare = line.rstrip(" ")
+    line = bare + " " if bare.endswith("\\") and len(bare) < len(line) else bare
+    if not line or line.startswith("#"):
+        return None
+    keep, line = line.startswith("!"), line.removeprefix("!")
+    dirs_only, line = line.endswith("/"), line.rstrip("/")
+    if not line:
+        return None
+    anchored, line = "/" in line, line.lstrip("/")
+    out, i = [], 0
+    while i < len(line):
+        c = line[i]
+        if line.startswith("**/", i) and (i == 0 or line[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
             continue
-        keep, glob = line.startswith("!"), line.removeprefix("!")
-        dirs_only, glob = glob.endswith("/"), glob.rstrip("/")
-        folder = folder.strip("/")
-        inside = F.lit(True) if not folder else path.startswith(folder + "/")
-        rest = path if not folder else F.substring(path, len(folder) + 2, 1 << 30)
-        if "/" in glob:
-            fits = _fits(glob_to_regex(glob.lstrip("/")))
-            hit = (fits(rest) & is_dir if dirs_only else fits(rest)) | F.exists(ancestors(rest), fits)
+        if line[i:] == "**" and line[i - 1 : i] == "/":
+            out.append(".+")
+            break
+        if c == "*":
+            while line[i + 1 : i + 2] == "*":
+                i += 1
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+        elif c == "[" and (end := line.find("]", i + 2 + (line[i + 1 : i + 2] in ("!", "^")))) > 0:
+            body = line[i + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&", r"\&")
+            out.append(f"(?!/)[^{body[1:]}]" if body[0] in "!^" else f"(?!/)[{body}]")
+            i = end
         else:
-            fits, parts = _fits(glob_to_regex(glob)), F.split(rest, "/")
-            above = F.exists(F.slice(parts, 1, F.size(parts) - 1), fits)
-            hit = above | (fits(basename(rest)) & is_dir if dirs_only else fits(basename(rest)))
-        depth = len(folder.split("/")) if folder else 0
-        found.append(F.when(inside & hit, F.struct(F.lit(depth).alias("depth"), F.lit(idx).alias("idx"), F.lit(not keep).alias("ignored"))))
-    last = F.array_max(F.array(*found))
-    return df.where(~last["ignored"] & ~path.rlike(r"(^|/)\.git(/|$)"))
+            if c == "\\" and i + 1 < len(line):
+                i, c = i + 1, line[i + 1]
+            out.append(re.sub(r"([^\w/ ])", r"\\\1", c))
+        i += 1
+    return f"(?s)^{'' if anchored else '(?:.*/)?'}{''.join(out)}$", keep, dirs_only
+
+
+def read_ignore_rules(tree: DataFrame, name: str = ".gitignore") -> DataFrame:
+    """Rows (folder, idx, line): the lines of the ignore files of that name in a scan with contents."""
+    of = tree.where(~F.col("is_dir") & (basename(F.col("path")) == name) & F.col("content").isNotNull())
+    return of.select(parent(F.col("path")).alias("folder"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("idx", "line"))
+
+
+def _ignore_rules(rules: DataFrame) -> DataFrame:
+    """Rows (folder, lines): each folder's rules, the last line first."""
+
+    @F.pandas_udf("regex string, keep boolean, dirs_only boolean")
+    def parsed(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ignore_regex(x or "") or (None, None, None) for x in lines], columns=["regex", "keep", "dirs_only"], dtype=object)
+
+    of = rules.select(F.regexp_replace("folder", "^/+|/+$", "").alias("folder"), "idx", parsed(F.col("line")).alias("r")).where("r.regex is not null")
+    one = F.struct((-F.col("idx")).alias("nth"), "r.regex", "r.keep", "r.dirs_only")
+    return of.groupBy("folder").agg(F.sort_array(F.collect_list(one)).alias("lines"))
+
+
+def _ignored(path: Column, is_dir: Column, chain: Column) -> Column:
+    """What the rules of the folders above say of a path: those of the deepest folder that has one for it, there the last."""
+
+    def of_folder(c):
+        rest = F.when(c["folder"] == "", path).otherwise(F.substring(path, F.length(c["folder"]) + F.lit(2), F.length(path)))
+        fits = F.filter(c["lines"], lambda x: (is_dir | ~x["dirs_only"]) & F.call_function("rlike", rest, x["regex"]))
+        return F.get(fits, F.lit(0))["keep"]
+
+    said = F.filter(F.transform(chain, of_folder), lambda k: k.isNotNull())
+    return ~F.coalesce(F.get(said, F.lit(0)), F.lit(True))
+
+
+def apply_ignore(df: DataFrame, rules: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """What a walk that honours ignore files sees of df: rules are rows (folder, idx, line), or a list (folder, line), of the
+    lines of the files in each folder.
+
+    Rules hold below their folder. Of the folders above a path the deepest with a matching line decides, and there its last
+    matching one; `!` takes back in. A directory that is ignored is not entered, so that nothing below it comes back, whatever
+    other lines say; `.git` is never entered. Without a column is_dir all rows are files.
+
+    Directories, the rows' own and all above them, are decided first: each folder's rules are one row, met by a join with
+    the directories below. Rows then meet their parent directory once, with the rules that hold in it. So the number of rules
+    adds rows to a join and nothing to the plan.
+    """
+    spark = df.sparkSession
+    if isinstance(rules, list):
+        rules = spark.createDataFrame([(f, i, x) for i, (f, x) in enumerate(rules)], "folder string, idx int, line string")
+    of_folder = _ignore_rules(rules)
+    is_dir = F.coalesce(F.col("is_dir"), F.lit(False)) if "is_dir" in df.columns else F.lit(False)
+    above = ancestors(F.col("path"))
+    found = df.select(F.explode(F.concat(F.array(F.lit("")), above, F.when(is_dir, F.array("path")).otherwise(F.array().cast("array<string>")))).alias("dir")).distinct()
+    # the folders whose rules may speak of what lies in a directory, the deepest first
+    scopes = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), ancestors(F.col("dir")), F.array("dir")))
+    met = found.select("dir", F.explode(scopes).alias("folder")).join(of_folder, "folder", "left")
+    held = F.collect_list(F.when(F.col("lines").isNotNull(), F.struct((-F.length("folder")).alias("nth"), "folder", "lines")))
+    dirs = stored(met.groupBy("dir").agg(F.sort_array(held).alias("chain")))
+    own = F.filter("chain", lambda c: c["folder"] != F.col("dir"))
+    shut = dirs.where((F.col("dir") != "") & ((basename(F.col("dir")) == ".git") | _ignored(F.col("dir"), F.lit(True), own))).select(F.col("dir").alias("shut"))
+    below = dirs.select("dir", F.explode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("shut")).join(shut, "shut", "left_semi").select("dir").distinct()
+    open_dirs = dirs.join(below, "dir", "left_anti").select(F.col("dir").alias("__dir"), F.col("chain").alias("__chain"))
+    j = df.join(open_dirs, parent(F.col("path")) == F.col("__dir"))
+    seen = ~_ignored(F.col("path"), is_dir, F.col("__chain")) & (basename(F.col("path")) != ".git")
+    return j.where(seen).select(*df.columns)

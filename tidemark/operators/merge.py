@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, parent, stem
@@ -107,8 +107,9 @@ def merged_sides(src: DataFrame, dst: DataFrame, actions: DataFrame) -> DataFram
 
 
 def apply_merge(src: DataFrame, dst: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both new snapshots, in the columns that the sides have in common."""
-    both, columns = merged_sides(src, dst, actions), [c for c in src.columns if c in dst.columns]
+    """Both new snapshots, in the columns that the sides have in common. They are made in one pass and stored; each is then
+    a filter over what is stored."""
+    both, columns = stored(merged_sides(src, dst, actions)), [c for c in src.columns if c in dst.columns]
     return tuple(both.where(F.col("side") == side).select(*columns) for side in ("source", "dest"))
 
 
@@ -134,16 +135,19 @@ def update_state(state: DataFrame, actions: DataFrame, now, sides: str = "both")
     return kept.unionByName(new.select(*state.columns))
 
 
-def merge_stats(actions: DataFrame, dry_run: bool = True) -> DataFrame:
-    """One row of counts and bytes; a rename counts once for each side, and its bytes only in a dry run."""
-    a = F.col("action")
+def _stats(a, dry_run: bool) -> list:
     renamed = F.when(a == "RenameConflict", F.col("s_size") + F.col("d_size")).otherwise(0) if dry_run else F.lit(0)
-    return actions.agg(
+    return [
         F.count_if(a.isin("CopyToDest", "RenameConflict")).alias("to_dest"), F.count_if(a.isin("CopyToSource", "RenameConflict")).alias("to_source"),
         F.count_if(a == "DeleteFromSource").alias("deleted_from_source"), F.count_if(a == "DeleteFromDest").alias("deleted_from_dest"),
         F.count_if(a == "RenameConflict").alias("renamed"),
         F.coalesce(F.sum(F.coalesce("winner_size", F.lit(0)) + renamed), F.lit(0)).cast("long").alias("bytes"),
-    )
+    ]
+
+
+def merge_stats(actions: DataFrame, dry_run: bool = True) -> DataFrame:
+    """One row of counts and bytes; a rename counts once for each side, and its bytes only in a dry run."""
+    return actions.agg(*_stats(F.col("action"), dry_run))
 
 
 def conflict_report(changes: DataFrame, strategy: str) -> DataFrame:
@@ -159,11 +163,21 @@ def merge_deletion_guard(changes: DataFrame, percent: int) -> DataFrame:
     return out.withColumn("ok", F.lit(True) if percent == 0 else ~over)
 
 
+def observed(actions: DataFrame) -> tuple[DataFrame, Observation]:
+    """Actions, and their counts as whatever writes them sees them go by: deletions, changes, and the columns of merge_stats()."""
+    watch = Observation("merge")
+    a = F.col("action")
+    counts = [F.count_if(F.col("change_type").isin("DeletedFromSource", "DeletedFromDest")).alias("deletions"), F.count(F.lit(1)).alias("changes")]
+    return actions.observe(watch, *counts, *_stats(a, dry_run=False)), watch
+
+
 def bisync(src: DataFrame, dst: DataFrame, state: DataFrame, now, strategy: str = "newer", percent: int = 50, stamp: int = 0, sides: str = "both", force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new source, new destination, new state); raises where the deletions exceed the guard. Changes are found once: their
-    actions, narrow rows, go to the checkpoint folder, and the guard and all three results read them there."""
-    changes = classify(src, dst, state)
-    actions = stored(resolve(changes, strategy_name(strategy), stamp))
-    if not force and not merge_deletion_guard(actions, percent).first()["ok"]:
-        raise ValueError("too many deletions")
+    actions, narrow rows, go to the checkpoint folder, the guard reads the counts taken as they are written, and all three
+    results read them there."""
+    actions, watch = observed(resolve(classify(src, dst, state), strategy_name(strategy), stamp))
+    actions = stored(actions)
+    found = watch.get
+    if not force and percent and found["deletions"] * 100 > found["changes"] * percent:
+        raise ValueError(f"{found['deletions']} of {found['changes']} changes are deletions, more than {percent} %")
     return *apply_merge(src, dst, actions), update_state(state, actions, now, sides)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 
 def upsert(state: DataFrame, updates: DataFrame, keys: list[str], deleted: DataFrame | None = None) -> DataFrame:
     """The table with rows of the same keys replaced by the updates (of several for one key, the last by `updated` and then
@@ -42,9 +44,16 @@ def with_checksum(df: DataFrame, cache: DataFrame, kind: str, compute: Column) -
     return j.select(*df.columns, F.when(hit, F.col("__checksum")).otherwise(compute).alias("checksum"), hit.alias("from_cache"))
 
 
+def flag_cache(cache: DataFrame, existing: DataFrame) -> DataFrame:
+    """The cache with `exists`: whether its path still does. One join, two shuffles."""
+    there = existing.groupBy("path").agg(F.lit(True).alias("__there"))
+    return cache.join(there, "path", "left").select(*cache.columns, F.coalesce("__there", F.lit(False)).alias("exists"))
+
+
 def prune_cache(cache: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows kept, paths dropped) by whether the path still exists."""
-    return cache.join(existing.select("path"), "path", "left_semi"), cache.join(existing.select("path"), "path", "left_anti").select("path")
+    """(rows kept, paths dropped) by whether the path still exists; what is met once is read by both."""
+    flagged = stored(flag_cache(cache, existing))
+    return flagged.where("exists").drop("exists"), flagged.where("not exists").select("path")
 
 
 def cache_stats(cache: DataFrame, fast: tuple[str, ...] = ("md5", "fast")) -> DataFrame:

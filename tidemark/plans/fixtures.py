@@ -78,6 +78,12 @@ class Tables:
         name = lambda n: F.concat(F.lit("l/"), n.cast("string"))
         return self.pages.select(name(k).alias("path"), name(k * 3 % 250).alias("symlink_target"), (k % 2 == 0).alias("is_symlink"), F.lit(False).alias("is_dir"))
 
+    def dirlinks(self) -> DataFrame:
+        """Links from folder to folder: of page k in folder k % 97, to folder k * 7 % 101, which is a real one below 97."""
+        k = F.col("page_id")
+        name = lambda n: F.concat(F.lit("d"), n.cast("string"))
+        return self.pages.where(k % 3 == 0).select(F.concat(name(k % 97), F.lit("/l"), k.cast("string")).alias("path"), name(k * 7 % 101 + k % 2 * 1000).alias("symlink_target"), F.lit(True).alias("is_symlink"), F.lit(False).alias("is_dir"))
+
     def xfer(self) -> DataFrame:
         k, size = F.col("k"), F.col("size")
         return self.src().select("path", size.alias("bytes_written"), F.when(k % 2 == 0, F.expr("size div 3")).alias("literal_bytes"), F.when(k % 5 == 0, F.expr("size div 2")).alias("transferred_bytes"))
@@ -128,6 +134,7 @@ cache AS (SELECT path, mt + CASE WHEN k % 4 = 1 THEN 1000000 ELSE 0 END AS mt, s
   UNION ALL SELECT 'gone/' || k || '.txt', {T0}, strlen(content), 'md5', md5(content) FROM base WHERE k % 23 = 0),
 links AS (SELECT *, k - k % 3 AS inode, CASE WHEN k % 4 <> 0 THEN 3 ELSE 1 END AS nlink FROM src),
 syms AS (SELECT 'l/' || page_id AS path, 'l/' || (page_id * 3 % 250) AS symlink_target, page_id % 2 = 0 AS is_symlink, false AS is_dir FROM pages),
+dirlinks AS (SELECT 'd' || (page_id % 97) || '/l' || page_id AS path, 'd' || (page_id * 7 % 101 + page_id % 2 * 1000) AS symlink_target FROM pages WHERE page_id % 3 = 0),
 xfer AS (SELECT path, size AS bytes_written, CASE WHEN k % 2 = 0 THEN size // 3 END AS literal_bytes, CASE WHEN k % 5 = 0 THEN size // 2 END AS transferred_bytes FROM src),
 chg AS (SELECT 'u/' || user_id AS path, epoch_us(ts) AS mt, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'modify' WHEN 'purchase' THEN 'modify' WHEN 'error' THEN 'remove' WHEN 'view' THEN 'access' END AS kind FROM events),
 sizes AS (SELECT doc_id AS k, (doc_id % 2000) || (CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'B' WHEN 2 THEN 'KB' WHEN 3 THEN 'm' WHEN 4 THEN ' GB' ELSE 'x' END) AS size_text FROM documents),

@@ -104,11 +104,25 @@ def filter_cascade(t):
     return filters.prune_excluded_dirs(tree(t), filters.parse_rules(["- src1/de", "- *3.txt"])).select("path")
 
 
-@query("SELECT path FROM src WHERE CASE WHEN regexp_matches(path, '^src2/[^/]*/?.*7[.]txt$') THEN true WHEN path LIKE '%7.txt' THEN false WHEN regexp_matches(path, '(^|/)fr(/|$)') THEN false ELSE true END")
+@query("SELECT path FROM src WHERE NOT regexp_matches(path, '(^|/)fr/') AND (path NOT LIKE '%7.txt' OR path LIKE 'src2/%')")
 def filter_ignore(t):
     return filters.apply_ignore(t.src(), [("", "fr/"), ("", "*7.txt"), ("src2", "!*7.txt")]).select("path")
 
 
+# one file at the top, one in each folder of a source, one in each folder of a language, whose lines come from the table
+@query("""AND said AS (SELECT t.path, max_by(r.keep, r.at) AS keep FROM tree t JOIN (
+    SELECT '' AS folder, 'de' AS name, true AS dirs, false AS keep, 0 AS at UNION ALL SELECT 'src1', 'de', true, true, 100 UNION ALL SELECT 'src1', 'en', true, false, 101
+    UNION ALL SELECT source || '/' || lang, doc_id || '.txt', false, doc_id % 3 = 0, 1000000 + doc_id FROM documents WHERE doc_id % 5 = 0) r
+    ON (r.folder = '' OR t.path LIKE r.folder || '/%') AND regexp_replace(t.path, '^.*/', '') = r.name AND (t.is_dir OR NOT r.dirs) GROUP BY t.path),
+  shut AS (SELECT path FROM said WHERE NOT keep)
+SELECT path FROM tree t WHERE path NOT IN (SELECT path FROM shut) AND NOT EXISTS (SELECT 1 FROM shut s WHERE t.path LIKE s.path || '/%')""")
+def filter_ignore_files(t):
+    k = F.col("doc_id")
+    fixed = t.spark.createDataFrame([("", 0, "de/"), ("src1", 0, "!de/"), ("src1", 1, "en/")], "folder string, idx long, line string")
+    own = t.documents.where(k % 5 == 0).select(F.concat("source", F.lit("/"), "lang").alias("folder"), k.alias("idx"), F.concat(F.when(k % 3 == 0, "!").otherwise(""), k.cast("string"), F.lit(".txt")).alias("line"))
+    return filters.apply_ignore(tree(t), fixed.unionByName(own)).select("path")
+
+
 @query("SELECT path, size FROM tree WHERE is_dir OR size BETWEEN 500 AND 2000")
 def filter_size(t):
     return filters.filter_size(tree(t), 500, 2000).select("path", "size")
@@ -140,6 +154,14 @@ def symlink_loops(t):
     return compare.symlink_loops(t.syms())
 
 
+# links between folders: a link leads on to the links in the folder that it leads to
+@query("""AND go(path, to_path) AS (SELECT a.path, b.path FROM dirlinks a JOIN dirlinks b ON b.path LIKE a.symlink_target || '/%'),
+  reach(path, to_path) AS (SELECT path, to_path FROM go UNION SELECT r.path, g.to_path FROM reach r JOIN go g ON r.to_path = g.path)
+SELECT DISTINCT path FROM reach WHERE to_path IN (SELECT path FROM reach WHERE path = to_path)""")
+def symlink_folder_loops(t):
+    return compare.symlink_loops(t.dirlinks())
+
+
 @query("SELECT path, kind, name, permissions FROM (SELECT path, 'user' AS kind, '' AS name, 'rw-' AS permissions FROM src UNION ALL SELECT path, 'group', 'g' || k % 3, 'r--' FROM src WHERE k % 2 = 0)")
 def acl_rows(t):
     k = F.col("k")
@@ -286,8 +308,7 @@ def checksum_cache_lookup(t):
 
 @query("SELECT path, path IN (SELECT path FROM src) AS kept FROM cache")
 def cache_prune(t):
-    kept, gone = state.prune_cache(t.cache(), t.src())
-    return kept.select("path", F.lit(True).alias("kept")).unionByName(gone.withColumn("kept", F.lit(False)))
+    return state.flag_cache(t.cache(), t.src()).select("path", F.col("exists").alias("kept"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (checksum_type = 'md5') AS fast, count(*) FILTER (checksum_type <> 'md5') AS cryptographic FROM cache")

@@ -5,34 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, key_to_path, relative_to
+from ..functions.paths import ancestors, key_to_path, parent, relative_to
+from .tree import TreeSource
 
 
-def scan_tree(spark: SparkSession, root: str, content: bool = False, dirs: bool = True, links: DataFrame | None = None) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, content: bool = False, dirs: bool = True, links: DataFrame | None = None, follow: bool = False, parts: int = 16) -> DataFrame:
     """What lies below root: path relative to it, size, mtime, is_dir, is_symlink, symlink_target. Contents are read only if
     asked for; directories have none.
 
-    With dirs each directory that has a file somewhere below it is a row, of size 0 and the time of its latest file, as
-    Spark's readers list files alone. They also read through symbolic links; `links`, rows (path, target) of a listing that knows them,
-    puts a link's row in the place of the file's, with the target kept and not followed.
+    A path without a scheme, or with `file:`, is a mounted tree, listed by `parts` tasks (tree.TreeSource): empty directories
+    and links are rows, a link's target is kept as it is written and not followed, and there are inode, nlink, blocks and error
+    (why a directory or file could not be read). With `follow` links are entered; one that leads to a directory above it has an error.
+
+    Other schemes go through Spark's reader, which lists files alone: each directory with a file somewhere below it is a
+    row, of size 0 and the time of its latest file. `links`, rows (path, target) of a listing that knows them, puts a
+    link's row in the place of the file's that it was read through.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    bare = "/" + root.split(":", 1)[-1].lstrip("/")
     none = F.lit(None).cast("string")
-    out = files.select(relative_to(plain, bare).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), none.alias("symlink_target"), "content")
-    if not content:
-        out = out.drop("content")
-    if dirs:
-        above = out.select(F.explode(ancestors(F.col("path"))).alias("path"), "mtime").groupBy("path").agg(F.max("mtime").alias("mtime"))
-        rows = above.select("path", F.lit(0).cast("long").alias("size"), "mtime", F.lit(True).alias("is_dir"), F.lit(False).alias("is_symlink"), none.alias("symlink_target"))
-        out = out.unionByName(rows, allowMissingColumns=True)
+    if "://" in root and not root.startswith("file:"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+        bare = "/" + root.split(":", 1)[-1].lstrip("/")
+        out = files.select(relative_to(plain, bare).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), none.alias("symlink_target"), "content")
+        if not content:
+            out = out.drop("content")
+        if dirs:
+            above = out.select(F.explode(ancestors(F.col("path"))).alias("path"), "mtime").groupBy("path").agg(F.max("mtime").alias("mtime"))
+            rows = above.select("path", F.lit(0).cast("long").alias("size"), "mtime", F.lit(True).alias("is_dir"), F.lit(False).alias("is_symlink"), none.alias("symlink_target"))
+            out = out.unionByName(rows, allowMissingColumns=True)
+    else:
+        spark.dataSource.register(TreeSource)
+        options = {"path": root, "parts": parts, "follow": follow, "content": content}
+        out = spark.read.format(TreeSource.name()).options(**options).load()
+        out = out if dirs else out.where("not is_dir")
     if links is not None:
         known = links.select("path", F.col("target").alias("__target"))
         out = out.join(known, "path", "left").withColumns({"is_symlink": F.col("__target").isNotNull(), "symlink_target": F.col("__target")}).drop("__target")
     return out
 
 
+def tree_targets(df: DataFrame, root: str) -> DataFrame:
+    """A scan with symlink_target as a path of the tree: relative targets from their link's directory, absolute ones below
+    root, without `.` and `..`; null for what lies outside."""
+    inside = root.rstrip("/") + "/"
+    target, up = F.col("symlink_target"), parent(F.col("path"))
+    whole = F.when(target.startswith("/"), F.when(F.concat(target, F.lit("/")).startswith(inside), F.substring(target, len(inside) + 1, 1 << 30))).otherwise(F.concat_ws("/", F.when(up != "", up), target))
+    # `..` takes one name back; with none to take, the target lies outside
+    step = lambda at, name: F.when((name == "") | (name == "."), at).when(name != "..", F.concat(at, F.array(name))).when(F.size(at) > 0, F.slice(at, 1, F.size(at) - 1))
+    names = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return df.withColumn("symlink_target", F.array_join(names, "/"))
+
+
+def tree_changes(spark: SparkSession, root: str, state: str, initial: bool = True, parts: int = 16) -> DataFrame:
+    """A stream of changes (path, ts, kind, is_dir) of a mounted tree, found by comparing listings; each trigger lists the
+    tree in `parts` tasks. `state` is a folder that all executors share and that this stream has for itself. With `initial` what is
+    there at first comes as created."""
+    spark.dataSource.register(TreeSource)
+    return spark.readStream.format(TreeSource.name()).options(path=root, state=state, initial=initial, parts=parts).load()
+
+
 def scan_objects(inventory: DataFrame, prefix: str) -> DataFrame:
     """An object listing (key, size, mtime) as a snapshot of what lies below the prefix; a key that ends in a slash is a
     directory. The prefix itself is no row."""

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from ..sources.snapshots import tree_changes
 
 
 def watch(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "1 second", initial: Callable[[], None] | None = None):
@@ -25,6 +28,70 @@ def watch(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+class Bursts(StatefulProcessor):
+    """For each key, counts what is pending and gives a run out once `interval` has passed since the last run and nothing has
+    come for `quiet`, both in milliseconds. What comes meanwhile moves the one timer of the key."""
+
+    def __init__(self, interval: int, quiet: int):
+        self.interval, self.quiet = interval, quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pending", "n long, due long, last_run long, runs long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        new = sum(r["n"] for r in rows)
+        if not new:
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        n, due, last_run, runs = self.state.get() if self.state.exists() else (0, 0, 0, 0)
+        if n:
+            self.handle.deleteTimer(due)
+        due = max(last_run + self.interval, now + self.quiet)
+        self.handle.registerTimer(due)
+        self.state.update((n + new, due, last_run, runs))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        n, _, _, runs = self.state.get()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.state.update((0, 0, now, runs + 1))
+        yield Row(watch=key[0], run=runs + 1, n=n, at=now)
+
+    def close(self) -> None:
+        pass
+
+
+def bursts(changes: DataFrame, interval: float, quiet: float = 0.1) -> DataFrame:
+    """Rows (watch, run, n, at) of a stream of changes, with a column `watch` if there are several: one for each burst, the
+    number of its changes and the time in milliseconds. A burst ends when `interval` seconds have passed since the last run and
+    none came for `quiet` seconds. Changes are counted where they are read; one number a partition meets the state of its watch."""
+    key = F.col("watch").cast("string") if "watch" in changes.columns else F.lit("")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.groupby("watch", as_index=False, dropna=False).size().rename(columns={"size": "n"})
+
+    few = changes.select(key.alias("watch")).mapInPandas(counted, "watch string, n long")
+    processor = Bursts(round(interval * 1000), round(quiet * 1000))
+    return few.groupBy("watch").transformWithState(processor, "watch string, run long, n long, at long", "Append", "ProcessingTime")
+
+
+def watch_tree(spark: SparkSession, root: str, state: str, handler: Callable[[int, int], None], checkpoint: str, interval: float = 1.0, quiet: float = 0.1, every: str = "100 milliseconds", parts: int = 16):
+    """Run handler(0, 0), a full run, and then handler(number, changes) for each burst of changes of a mounted tree. The tree is
+    listed `every` so often; state and checkpoint are folders that all executors share. What is there at first is the
+    first burst of a new checkpoint, so that nothing is lost that changes during the full run; a watch that begins again finds
+    what changed while it was down."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        for r in batch.orderBy("run").collect():  # one row a burst
+            handler(r.run, r.n)
+
+    handler(0, 0)
+    runs = bursts(tree_changes(spark, root, state, parts=parts), interval, quiet)
+    return runs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def coalesce_events(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Rows (path, start, end, n, kind): events of a path less than a gap apart become one, of the last one's kind. A
     stream needs `late`, the delay after which an event is dropped."""

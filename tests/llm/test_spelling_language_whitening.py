@@ -140,6 +140,11 @@ def test_path_is_the_best_one():
     for a, z in zip(first[:-1], first[1:]):
         best = max((worth(number[a:z], p) for p in itertools.product(range(3), repeat=int(z - a))), default=0)
         assert worth(number[a:z], got[a:z]) == pytest.approx(best)
+    for penalty in (0.0, 2.5, 6.0, 40.0):
+        one, other = (f(number, scores, first, penalty) for f in (language.best_path, language.viterbi))
+        value = lambda p: sum(scores[w, x] for w, x in zip(number, p)) - penalty * sum(x != y for a, z in zip(first[:-1], first[1:]) for x, y in zip(p[a:z], p[a + 1 : z]))  # noqa: B023, E731
+        assert value(one) == pytest.approx(value(other))
+    assert (language.of_one_language(number, scores, first, 40.0) >= 0).all()
 
 
 def test_word_scores_are_chances(spark):

@@ -27,7 +27,7 @@ PENALTY = 12.0
 #: Of a language's letters, the share in a script from which on it is a candidate for words of that script.
 LEAST_SHARE = 0.001
 #: Characters of text that are cut into words at a time.
-PIECE = 1 << 18
+PIECE = 1 << 22
 
 # First code points of ranges and the script of what follows, by Unicode's blocks.
 SCRIPTS = (
@@ -168,6 +168,43 @@ def viterbi(number: np.ndarray, scores: np.ndarray, first: np.ndarray, penalty:
     return path
 
 
+def of_one_language(number: np.ndarray, scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """For each text the language that is the best path from end to end, where that is sure; else -1.
+
+    A path that leaves the language of the largest sum changes at least as often as it has stretches of other languages.
+    So if no stretch of words gains more than the penalty by any one other language, no path is better.
+    """
+    texts, width = len(first) - 1, scores.shape[1]
+    of = np.repeat(np.arange(texts), np.diff(first))
+    sums = np.stack([np.bincount(of, np.maximum(scores[:, c], -1e3)[number], texts) for c in range(width)], axis=1)
+    best = sums.argmax(1)
+    gain = np.zeros(texts)
+    for c in range(width):
+        # the largest sum over a stretch: each sum up to a word, less the least one before it in the same text
+        d = np.maximum((np.maximum(scores[:, c], -1e3)[:, None] - np.maximum(scores, -1e3))[number, best[of]], -1e3)
+        after = np.cumsum(d)
+        after -= np.repeat(np.concatenate([[0.0], after])[first[:-1]], np.diff(first))
+        before = after - d
+        step = (before.max() - before.min() + 1.0) * of
+        stretch = after - (np.minimum.accumulate(before - step) + step)
+        np.maximum.at(gain, of, stretch)
+    return np.where(gain <= penalty - 0.01, best, -1)
+
+
+def best_path(number: np.ndarray, scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """viterbi(), without its steps for texts whose path is sure to stay with one language."""
+    if not len(number):
+        return np.empty(0, np.int16)
+    sure = of_one_language(number, scores, first, penalty)
+    path = np.repeat(sure, np.diff(first)).astype(np.int16)
+    rest = np.flatnonzero(sure < 0)
+    if len(rest):
+        n = np.diff(first)[rest]
+        at = np.repeat(first[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        path[at] = viterbi(number[at], scores, np.concatenate([[0], np.cumsum(n)]), penalty)
+    return path
+
+
 def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     held, size, first = [], 0, 0
     for i, x in enumerate(column):
@@ -243,7 +280,7 @@ def label(texts: list[str], model: Model, penalty: float) -> tuple[np.ndarray, n
     if not words or not model.languages:
         return *none, np.empty(0, np.int16), first, size
     scores = model.scores(words)
-    path = viterbi(number, scores, first, penalty)
+    path = best_path(number, scores, first, penalty)
     of = np.repeat(np.arange(len(texts)), np.diff(first))
     letters = np.zeros((len(texts), len(model.languages)))
     np.add.at(letters, (of, path), size)

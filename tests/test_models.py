@@ -286,6 +286,26 @@ def test_events_and_guards(tables, tmp_path):
         summaries.check_deletions(plan, tables.dst(), 90, confirm=3)
 
 
+def test_counts_come_with_the_plan(spark, tables):
+    """The guard and the summary are those of jobs of their own, and take none."""
+    plan = compare.plan_sync(tables.src(), tables.dst())
+    want = summaries.summarize(plan).first().asDict()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("guard", "guard")
+    kept, found = summaries.guarded_plan(plan, 90)
+    ran = len(jobs.getJobIdsForGroup("guard"))
+    spark.sparkContext.setJobGroup("plain", "plain")
+    compare.stored(plan)
+    assert ran <= len(jobs.getJobIdsForGroup("plain"))
+    assert {k: found[k] for k in want} == want and found["dest_rows"] == tables.dst().count()
+    assert kept.exceptAll(plan).isEmpty() and kept.count() == plan.count()
+    for bad in ({"percent": 1}, {"percent": 90, "confirm": 3}, {"percent": 90, "available": 10}):
+        with pytest.raises(ValueError):
+            summaries.guarded_plan(plan, **bad)
+    summaries.guarded_plan(plan, 1, force=True)
+    summaries.guarded_plan(plan, 90, confirm=3, confirmed=True)
+
+
 @pytest.mark.parametrize("codec", ["none", "lz4", "zstd"])
 def test_write_and_scan(spark, tables, tmp_path, codec):
     snapshots.write_snapshot(tables.src(), str(tmp_path / "s"), codec)

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent
 from ..functions.text import format_bytes
+from .tables import stored
+
+
+def _counts() -> list[Column]:
+    moved = F.when(F.col("action").isin("create", "update") & ~F.col("is_dir"), F.col("src_size")).otherwise(0)
+    return [*[F.count_if(F.col("action") == a).alias(n) for a, n in (("create", "created"), ("update", "updated"), ("skip", "skipped"), ("delete", "deleted"))], F.coalesce(F.sum(moved), F.lit(0)).alias("bytes_to_transfer")]
 
 
 def summarize(plan: DataFrame) -> DataFrame:
     """One row: rows by action, and bytes to transfer for created and updated files."""
-    moved = F.when(F.col("action").isin("create", "update") & ~F.col("is_dir"), F.col("src_size")).otherwise(0)
-    return plan.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("create", "created"), ("update", "updated"), ("skip", "skipped"), ("delete", "deleted"))], F.coalesce(F.sum(moved), F.lit(0)).alias("bytes_to_transfer"))
+    return plan.agg(*_counts())
+
+
+def guarded_plan(plan: DataFrame, percent: int = 50, confirm: int = 1000, confirmed: bool = False, force: bool = False, available: int | None = None) -> tuple[DataFrame, dict]:
+    """(the plan, stored; its summary) of a plan with deletions, as plan_sync() makes it; raises where deletion_guard() or, with
+    `available` bytes, capacity_check() refuses.
+
+    The counts are taken as the plan is written, and so are the destination's rows, which are all that aren't created: neither
+    side is read again, and no guard or summary is a job of its own.
+    """
+    watch = Observation("plan")
+    kept = stored(plan.observe(watch, *_counts(), F.count_if(F.col("action") != "create").alias("dest_rows")))
+    found = dict(watch.get)
+    if not force and found["deleted"] * 100 > found["dest_rows"] * percent:
+        raise ValueError(f"{found['deleted']} of {found['dest_rows']} rows would be deleted, more than {percent} %")
+    if not force and not confirmed and found["deleted"] > confirm:
+        raise ValueError(f"{found['deleted']} deletions need a confirmation")
+    need = int(found["bytes_to_transfer"])
+    if available is not None and need + need // 10 > available:
+        raise ValueError(f"{need + need // 10} bytes are needed, {available} available")
+    return kept, found
 
 
 def dry_run(plan: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import blocks, compare, filters, merge, state, summaries
+from ..operators import blocks, compare, filters, merge, pieces, state, summaries, transfer
 from ..sources import snapshots
 from ..streaming import watch
 from .fixtures import CTES, T0, Tables, rules
@@ -435,20 +435,45 @@ def both_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.src().select("path", "content"), t.dst().select("path", "content")
 
 
+PIECE = 1 << 14
+
+
+def delta_ops(t: Tables) -> DataFrame:
+    src, dst = both_sides(t)
+    return pieces.rolling_delta(pieces.pieces(src, PIECE, 511), pieces.pieces(dst, PIECE), 512)
+
+
+def transferred(t: Tables) -> DataFrame:
+    src = t.src().select("path", "size", "mtime", "is_dir", "content", (F.col("k") % 8 == 0).alias("is_sparse"))
+    return transfer.transfer(src, t.dst(), compare.plan_oneway(src, t.dst()), piece=PIECE)[1]
+
+
+@query("SELECT o.path, o.action, CASE WHEN o.dst_size IS NULL OR o.dst_size < 4096 THEN 'full' WHEN s.k % 8 = 0 THEN 'sparse' ELSE 'measured' END AS strategy, o.src_size AS bytes_written, NULL::VARCHAR AS error FROM oneway o JOIN src s USING (path) WHERE o.action IN ('create', 'update')")
+def transfer_run(t):
+    small = F.col("dst_size").isNull() | (F.col("dst_size") < 4096)
+    of = transferred(t).join(t.dst().select("path", F.col("size").alias("dst_size")), "path", "left")
+    measured = F.when(small | (F.col("strategy") == "sparse"), F.col("strategy")).otherwise("measured")
+    return of.select("path", "action", measured.alias("strategy"), "bytes_written", "error")
+
+
+@query()
+def transfer_run_savings(t):
+    return summaries.savings(transferred(t))
+
+
 @query()
 def rolling_delta(t):
-    return blocks.rolling_delta(*both_sides(t))
+    return delta_ops(t).select("path", "at", "op", "off", "size")
 
 
 @query("SELECT path, md5(content) AS checksum, size FROM src WHERE size > 0")
 def delta_roundtrip(t):
-    src, dst = both_sides(t)
-    return blocks.apply_delta(dst, blocks.rolling_delta(src, dst)).select("path", F.md5("content").alias("checksum"), "size")
+    return pieces.digests(pieces.apply_delta(pieces.pieces(both_sides(t)[1], PIECE), delta_ops(t), PIECE))
 
 
 @query()
 def delta_ratio(t):
-    return blocks.delta_ratio(blocks.rolling_delta(*both_sides(t)))
+    return blocks.delta_ratio(delta_ops(t))
 
 
 @query("""AND h AS (SELECT path, hex(encode(content)) AS h, size AS n FROM src WHERE size > 0), b AS (SELECT path, n, h, unnest(range(0, n)) AS i FROM h),
@@ -480,7 +505,7 @@ def sparse_roundtrip(t):
     table = blocks.block_table(t.base(), 512)
     kept = table.join(flagged(t).where("not is_zero").select("path", "idx"), ["path", "idx"]).select("path", "off", "data")
     sizes = t.base().select("path", F.octet_length("content").cast("long").alias("size"))
-    return blocks.rebuild_sparse(kept, sizes).select("path", F.md5("content").alias("checksum"), F.octet_length("content").cast("long").alias("size"))
+    return pieces.digests(pieces.rebuild_sparse(kept, sizes, PIECE))
 
 
 @query("SELECT page_id AS k, page_id % 11 IN (0, 1, 4, 7, 8) AS compressed FROM pages")

@@ -29,7 +29,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = r"[\[({<]\x20?(?:at|AT)\x20?[\])}>]"
 _DOT = r"[\[({<]\x20?(?:dot|DOT)\x20?[\])}>]"
 _SPELT = re.compile(rf"(?<![\w.+-])[\w.+-]++\x20?{_AT}\x20?[\w-]++(?:\x20?(?:{_DOT}|\.)\x20?[\w-]++)*+")
-_MARK = re.compile(rf"[0-9@]+|{_AT}")
+# Last parts of hosts that make `name at host dot part` an address.
+_ENDS = frozenset("com net org edu gov info io dev app de fr es it nl pl at ch uk eu us ca au in jp cn br".split())
+_SAID = re.compile(r"(?<![\w.+-])[\w.+-]++\x20at\x20[\w-]++((?:\x20dot\x20[\w-]++)++)", re.I)
+_MARK = re.compile(rf"[0-9@]+|{_AT}|\x20(?:dot|DOT)\x20")
 _WORD = re.compile(r"\S+")
 _GROUPS = re.compile(r"(?<![0-9().+-])\+?[0-9().-]++(?:\x20[0-9().-]++)++")
 
@@ -105,15 +108,28 @@ class Taken:
         return True
 
 
+def said(text: str) -> Iterator[tuple[int, int]]:
+    """Extents of `name at host dot com`, to the last part that hosts end in."""
+    for m in _SAID.finditer(text):
+        end = m.end()
+        for part in reversed(re.split(r"\x20dot\x20", m[1], flags=re.I)[1:]):
+            if part.lower() in _ENDS:
+                yield m.start(), end
+                break
+            end -= len(part) + 5
+
+
 def candidates(text: str, spans: list[Span] = ()) -> list[tuple[int, int]]:
-    """Extents of what might be personal data: the base spans; addresses spelt with a word for the @; numbers of 9 to 15 digits
-    in several short groups; words that hold a digit or an @, without the punctuation around them; and words that are
+    """Extents of what might be personal data: the base spans; addresses spelt with a word for the @, in brackets or not; numbers of
+    9 to 15 digits in several short groups; words that hold a digit or an @, without the punctuation around them; and words that are
     the name or the host of an address elsewhere in the text."""
     taken = Taken()
     for _, a, b in sorted(spans, key=lambda s: s[1]):
         taken.add(a, b)
     for m in _SPELT.finditer(text) if "at" in text or "AT" in text else ():
         taken.add(*m.span())
+    for a, b in said(text):
+        taken.add(a, b)
     edges = [0, *(x for span in taken.spans for x in span), len(text)]
     for lo, hi in zip(edges[::2], edges[1::2]):
         for m in _GROUPS.finditer(text, lo, hi):
@@ -122,7 +138,7 @@ def candidates(text: str, spans: list[Span] = ()) -> list[tuple[int, int]]:
                 taken.add(m.start(), m.start() + len(m[0].rstrip(" ().-")))
     end = 0
     for m in _MARK.finditer(text):
-        if m.start() < end:
+        if m.start() < end or m[0][0] == " ":
             continue
         a, end = m.start(), m.end()
         while a and not text[a - 1].isspace():
@@ -159,7 +175,7 @@ def features(word: str) -> list[int]:
     f += [23] if "@" in word and "." in word.rpartition("@")[2] else []
     f += [24] if dots == 3 and digits + 3 == len(word) else []
     f += [25] if digits >= 13 and not letters else []
-    f += [26] if _SPELT.fullmatch(word) else []
+    f += [26] if _SPELT.fullmatch(word) or _SAID.fullmatch(word) else []
     f += [27] if not digits and "@" not in word else []
     f += [28] if 13 <= digits <= 19 and not letters and not luhn("".join(c for c in word if "0" <= c <= "9")) else []
     return f
@@ -169,6 +185,8 @@ def keys(word: str) -> tuple[set[str], set[str]]:
     """(content, likeness) of a word: what words with the same content have in common, and what similar ones have. Similar
     are numbers of nine digits or more that agree in their first or their last six, addresses of one host or with one name, numbers with three dots
     that agree in the first three parts, and a word that is such a name or host."""
+    if _SAID.fullmatch(word):
+        word = re.sub(r"\x20dot\x20", ".", re.sub(r"\x20at\x20", "@", word, flags=re.I), flags=re.I)
     low = re.sub(rf"\x20?{_AT}\x20?", "@", word, flags=re.I).lower()
     low = re.sub(rf"\x20?{_DOT}\x20?", ".", low, flags=re.I)
     digits = "".join(c for c in low if "0" <= c <= "9")
@@ -321,6 +339,11 @@ def train(docs: DataFrame, rows: int = 2000) -> Field | None:
     return fit([r[0] for r in of.join(hashes, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").collect()])
 
 
+def possible(kind: str, word: str) -> bool:
+    """Whether a word can be what the field takes it for: an address of four numbers has none over 255."""
+    return kind != "ip" or all(int(p or 0) <= 255 for p in re.findall(r"[0-9]{1,18}", word))
+
+
 def find(text: str, field: Field | None, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans). A word outside the base spans is added if one of the four labels is at least that probable,
     with all that its document's other words tell about it."""
@@ -333,7 +356,8 @@ def find(text: str, field: Field | None, sure: float = 0.9) -> tuple[list[Span],
     if not len(g.words) or g.observed.all():
         return base, []
     p = field.marginals(g)
-    return base, [(KINDS[label - 1], *g.words[i]) for i, label in enumerate(p.argmax(1).tolist()) if label and not g.observed[i] and p[i, label] >= sure]
+    added = [(KINDS[label - 1], *g.words[i]) for i, label in enumerate(p.argmax(1).tolist()) if label and not g.observed[i] and p[i, label] >= sure]
+    return base, [(k, a, b) for k, a, b in added if possible(k, text[a:b])]
 
 
 def find_pii(docs: DataFrame, field: Field | None) -> DataFrame:

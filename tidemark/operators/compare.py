@@ -176,12 +176,13 @@ def resolve_links(df: DataFrame) -> DataFrame:
     """
     links = df.where("is_symlink and path is not null").groupBy("path").agg(F.min("symlink_target").alias("target")).where("target is not null")
     at = stored(links.select("path", "target", F.lit(False).alias("done")))
+    names = links.agg(F.coalesce(F.max(F.size(F.split("target", "/"))), F.lit(0))).first()[0]
     still, idle = None, 0
     while True:
-        state = at.where("not done").agg(F.count("*"), F.coalesce(F.max(F.size(F.split("target", "/"))), F.lit(0))).first()
-        idle = idle + 1 if state[0] == still else 0
-        still = state[0]
-        if not still or idle > state[1]:
+        left = at.where("not done").count()
+        idle = idle + 1 if left == still else 0
+        still = left
+        if not left or idle > names:
             break
         known = at.select(F.col("path").alias("begin"), F.col("target").alias("to"))
         open_ = at.where("not done")
@@ -189,9 +190,11 @@ def resolve_links(df: DataFrame) -> DataFrame:
         hop = begins.join(known, "begin").groupBy("path", "target").agg(F.max_by(F.struct("begin", "to"), F.length("begin")).alias("h"))
         rest = F.substring("target", F.length("h.begin") + F.lit(1), F.length("target"))
         joined = F.when(F.col("h.to") == "", F.regexp_replace(rest, "^/", "")).otherwise(F.concat("h.to", rest))
-        moved = hop.select("path", joined.alias("next"))
-        step = open_.join(moved, "path", "left").select("path", F.coalesce("next", "target").alias("target"), F.col("next").isNull().alias("done"))
-        at = stored(at.where("done").unionByName(step.where(F.length("target") <= LONGEST_PATH)))
+        moved = hop.select("path", joined.alias("next"), F.lit(True).alias("hit"))
+        # what leads into a target without end, or grows without one, has none
+        nxt = F.when(F.length("next") <= LONGEST_PATH, F.col("next"))
+        step = open_.join(moved, "path", "left").select("path", F.when(F.col("hit"), nxt).otherwise(F.col("target")).alias("target"), (F.col("hit").isNull() | nxt.isNull()).alias("done"))
+        at = stored(at.where("done").unionByName(step))
     settled = at.where("done").select("path", "target")
     return links.select("path").join(settled, "path", "left")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, connected_components, materialise, small_enough
+from .shared import broadcast_if_small, connected_components, discard, materialise, small_enough
 from .shingles import chunks, shingles
 
 #: A threshold as (numerator, denominator): intersection / union >= numerator / denominator.
@@ -19,6 +19,10 @@ Ratio = tuple[int, int]
 BROADCAST_IDS = 2_000_000
 #: Cells of a histogram over elements beyond a prefix.
 CELLS = 256
+#: Elements of common lists in a tile of documents, about.
+TILE_ELEMENTS = 2_000_000
+#: How many times the rows of its longest list a bundle of lists may have.
+WIDER = 4
 
 
 def least_overlap(a, b, ratio: Ratio):
@@ -113,8 +117,8 @@ class Known:
         self.table, self.most = table, most
         self.array = np.sort(np.array([r[0] for r in table.collect()], np.int64).view(np.uint64)) if small_enough(table, most) else None
 
-    def both(self, more: "Known") -> "Known":
-        return Known(materialise(self.table.unionByName(more.table), "common"), self.most)
+    def both(self, more: "Known", write) -> "Known":
+        return Known(write(self.table.unionByName(more.table), "common"), self.most)
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -142,6 +146,12 @@ class Join:
         self.all = materialise(rows_of(docs, n, ratio, np.empty(0, np.uint64)), "rows")
         classes = self.all.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
         self.classes = materialise(classes, "classes")
+        self.spent: list[DataFrame] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """materialise() of a table that nothing reads once the links are written."""
+        self.spent.append(materialise(df, label))
+        return self.spent[-1]
 
     def rows(self, docs: DataFrame, ratio: Ratio, common: Known) -> DataFrame:
         found = rows_of(docs, self.n, ratio, common.array) if common.array is not None else rows_joined(docs, self.n, ratio, common.table)
@@ -157,26 +167,26 @@ class Join:
         """
         first = self.all.join(self.classes.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "n", "prefix", "rare", "rest").dropDuplicates(["doc_id"])
         common = Known(self.docs.sparkSession.createDataFrame([], "h long"), self.max_common)
-        parts, turn = [(materialise(first, "prefixes"), 0)], 0  # with the turn that each was made in
+        parts, turn = [(self.write(first, "prefixes"), 0)], 0  # with the turn that each was made in
         while True:
             new = self.crowded(parts[-1][0])
             if new.table.isEmpty():
                 break
             touched = self.touched(parts, common, new)
             if turn:  # documents whose next elements are common as well: all of their elements are counted at once
-                new = new.both(self.crowded(self.rows(only(self.docs, touched), (0, 1), common.both(new))))
+                new = new.both(self.crowded(self.rows(only(self.docs, touched), (0, 1), common.both(new, self.write))), self.write)
                 touched = self.touched(parts, common, new)
-            common, turn = common.both(new), turn + 1
-            parts.append((materialise(self.rows(only(self.docs, touched), self.ratio, common), "prefixes"), turn))
+            common, turn = common.both(new, self.write), turn + 1
+            parts.append((self.write(self.rows(only(self.docs, touched), self.ratio, common), "prefixes"), turn))
         return functools.reduce(DataFrame.unionByName, [self.holding(p, common, None) if made < turn else p for p, made in parts])
 
     def crowded(self, rows: DataFrame) -> Known:
         """Elements that more than `crowd` of the rows have among their rare ones."""
         of = rows.select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("h")).groupBy("h").count().where(F.col("count") > self.crowd)
-        return Known(materialise(of.select("h"), "crowded"), self.max_common)
+        return Known(self.write(of.select("h"), "crowded"), self.max_common)
 
     def touched(self, parts: list[tuple[DataFrame, int]], common: Known, new: Known) -> DataFrame:
-        return materialise(functools.reduce(DataFrame.unionByName, [self.holding(p, common, new) for p, _ in parts]), "touched")
+        return self.write(functools.reduce(DataFrame.unionByName, [self.holding(p, common, new) for p, _ in parts]), "touched")
 
     def holding(self, rows: DataFrame, without_of: Known, new_of: Known | None) -> DataFrame:
         """Rows with none of the elements `without` among their rare ones; with `new`, ids of those that hold one of these."""
@@ -209,9 +219,9 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose whole sets link, as the exact dot product of their rows."""
-        pairs = materialise(pairs.select("a", "b"), "pairs")
+        pairs = self.write(pairs.select("a", "b"), "pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialise(sets_of(only(self.docs, ids), self.n).dropDuplicates(["doc_id"]), "sets")
+        sets = self.write(sets_of(only(self.docs, ids), self.n).dropDuplicates(["doc_id"]), "sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
         num, den = self.ratio
@@ -267,10 +277,26 @@ class Join:
         found = sorted_rows.mapInArrow(run, "a long, b long, need long")
         return found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
-    def common_rows(self, rows: DataFrame) -> DataFrame:
-        """Rows (h, doc_id, n, shared, rest): one for each common element that a prefix can't do without."""
-        of = rows.where("rare < size(prefix)").withColumn("shared", F.slice("prefix", F.col("rare") + 1, F.size("prefix")))
-        return of.select(F.explode("shared").alias("h"), "doc_id", "n", "shared", "rest")
+    def common_rows(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows (h, doc_id, n), one for each common element that a prefix can't do without, and rows (doc_id, n, shared,
+        rest), one for each document that has such elements."""
+        wide = self.write(rows.where("rare < size(prefix)").select("doc_id", "n", F.slice("prefix", F.col("rare") + 1, F.size("prefix")).alias("shared"), "rest"), "wide")
+        return self.write(wide.select(F.explode("shared").alias("h"), "doc_id", "n"), "lists"), wide
+
+    def bundles(self, lists: DataFrame) -> DataFrame:
+        """Rows (bundle, doc_id): every two documents of a list are in one bundle, and a document is in fewer bundles than
+        lists where lists resemble each other, as those of long near copies do.
+
+        A list goes to the smallest element that any of its documents has. Where that makes more than WIDER times the
+        rows of the longest list, only lists of the very same documents go together.
+        """
+        least = lists.groupBy("doc_id").agg(F.min("h").alias("least"))
+        per = lists.join(least, "doc_id").groupBy("h").agg(F.min("least").alias("home"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("same"))
+        per = self.write(per.where("m > 1"), "homes")
+        held = lists.join(per.select("h", "home"), "h").select("home", "doc_id").distinct().groupBy("home").agg(F.count("*").alias("held"))
+        fits = per.groupBy("home").agg(F.max("m").alias("longest")).join(held, "home").where(F.col("held") <= WIDER * F.col("longest"))
+        named = per.join(fits.select("home", F.lit(True).alias("fits")), "home", "left").select("h", F.when(F.col("fits"), F.col("home")).otherwise(F.col("same")).alias("bundle"))
+        return self.write(lists.join(named, "h").select("bundle", "doc_id").distinct(), "bundles")
 
     def pivot_pairs(self, lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
         """Candidates (a, b): in every list one document of the largest component stands for it, another in each turn,
@@ -283,76 +309,104 @@ class Join:
         fits = (F.col("n") * den >= F.col("top.one.n") * num) & (F.col("top.one.n") * den >= F.col("n") * num)
         return met.where(fits).select(F.least("doc_id", "top.one.doc_id").alias("a"), F.greatest("doc_id", "top.one.doc_id").alias("b")).distinct()
 
-    def common_pairs(self, lists: DataFrame, labels: DataFrame, tile: int = 1024) -> DataFrame:
+    def common_pairs(self, bundles: DataFrame, wide: DataFrame, labels: DataFrame, tile: int = 1024) -> DataFrame:
         """All candidates (a, b) of different components that share common elements of their prefixes.
 
-        In a list only documents outside the largest component need to be compared, with all others. Both sides are cut
-        into tiles by a hash of the id, and every two tiles meet in one group: there the product of the tiles' incidence
-        rows tells the list of each pair's first shared element, where alone the pair is looked at, and the size-derived
-        bound discards it or gives it out. What two documents share is at most, cell by cell, the fewer of their rare
-        elements and the fewer of their common ones.
+        In a bundle only documents outside the largest component need to be compared, with all others. Both sides are cut
+        into tiles by a hash of the id, of `tile` documents and TILE_ELEMENTS elements or so, and every two tiles meet in
+        one group: there the product of the tiles' incidence rows, taken over blocks of elements, counts what two
+        documents share, and the size-derived bound discards pairs or gives them out. What two documents share is at
+        most, cell by cell, the fewer of their rare elements and the fewer of their common ones. Ids alone are
+        bundled; each document's elements are fetched once for each two tiles that it is in.
         """
-        of = lists.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        per = of.groupBy("h", "label").agg(F.count("*").alias("s"))
-        top = per.groupBy("h").agg(F.max_by("label", F.struct("s", "label")).alias("top"), F.sum("s").alias("m"), F.max("s").alias("most"), F.count("*").alias("k")).where("k > 1")
-        top = top.select("h", "top", F.ceil(F.col("m") / tile).cast("int").alias("tall"), F.ceil((F.col("m") - F.col("most")) / tile).cast("int").alias("trest"))
-        of = of.join(top, "h")
+        of = bundles.join(wide.select("doc_id", F.size("shared").alias("w")), "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        of = self.write(of, "members")
+        per = of.groupBy("bundle", "label").agg(F.count("*").alias("s"), F.sum("w").alias("w"))
+        largest = F.max(F.struct("s", "label", "w"))
+        top = per.groupBy("bundle").agg(largest.alias("most"), F.sum("s").alias("m"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
+        tiles = lambda m, w: F.greatest(F.ceil(m / tile), F.ceil(w / TILE_ELEMENTS)).cast("int")
+        m, w, most = F.col("m"), F.col("w"), F.col("most")
+        top = top.select("bundle", most["label"].alias("top"), tiles(m, w).alias("tall"), tiles(m - most["s"], w - most["w"]).alias("trest"))
+        of = of.drop("w").join(top, "bundle")
         spread = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
         rest = of.where("label <> top").withColumn("i", spread("trest")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)))
         every = of.withColumn("j", spread("tall")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("trest") - 1)))
-        columns, ratio = ["h", "i", "j", "doc_id", "n", "label", "shared", "rest"], self.ratio
+        key, ratio = ["bundle", "i", "j"], self.ratio
+
+        def elements(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            """(elements, their rows), sorted by element."""
+            shared = t.column("shared").combine_chunks()
+            flat = shared.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(flat, kind="stable")
+            return flat[order], np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy(zero_copy_only=False))[order]
+
+        def histogram(t: pa.Table, e: np.ndarray, row: np.ndarray) -> np.ndarray:
+            g = np.stack([np.frombuffer(x, "<u4") for x in t.column("rest").to_pylist()])
+            place = row * CELLS + (e.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)
+            g[:, CELLS:] += np.bincount(place, minlength=len(g) * CELLS).reshape(-1, CELLS).astype(np.uint32)
+            return g
 
         def compare(x: pa.Table, y: pa.Table) -> pa.Table:
             a = b = np.empty(0, np.int64)
             if x.num_rows and y.num_rows:
-                h = x.column("h")[0].as_py()
-                sx, sy = x.column("shared").to_pylist(), y.column("shared").to_pylist()
-                place = {e: k for k, e in enumerate(sorted({e for s in sx for e in s} & {e for s in sy for e in s}))}
-                mx, my = (np.zeros((len(s), len(place)), np.float32) for s in (sx, sy))
-                for m, s in ((mx, sx), (my, sy)):
-                    for r, elements in enumerate(s):
-                        m[r, [place[e] for e in elements if e in place]] = 1
+                (ex, rx), (ey, ry) = elements(x), elements(y)
+                both, count = np.intersect1d(ex, ey), np.zeros((x.num_rows, y.num_rows), np.float32)
+                for lo in range(0, len(both), 4096):
+                    block, parts = both[lo : lo + 4096], []
+                    for e, r, rows in ((ex, rx, x.num_rows), (ey, ry, y.num_rows)):
+                        here = slice(np.searchsorted(e, block[0]), np.searchsorted(e, block[-1], "right"))
+                        at = np.searchsorted(block, e[here])
+                        hit = block[at] == e[here]
+                        parts.append(np.zeros((rows, len(block)), np.float32))
+                        parts[-1][r[here][hit], at[hit]] = 1
+                    count += parts[0] @ parts[1].T
                 dx, dy, nx, ny, cx, cy = (t.column(c).to_numpy() for c in ("doc_id", "n", "label") for t in (x, y))
-                gx, gy = (np.stack([np.frombuffer(g, "<u4") for g in t.column("rest").to_pylist()]) for t in (x, y))
-                for g, s in ((gx, sx), (gy, sy)):
-                    g[:, CELLS:] += np.stack([cells(np.array(e, np.int64).view(np.uint64) % CELLS) for e in s]).astype(np.uint32)
-                before = mx[:, : place[h]] @ my[:, : place[h]].T
                 num, den = ratio
-                i, j = np.nonzero((before == 0) & (cx[:, None] != cy[None]) & (den * nx[:, None] >= num * ny[None]) & (den * ny[None] >= num * nx[:, None]))
-                fine = np.zeros(len(i), bool)
+                i, j = np.nonzero((count > 0) & (cx[:, None] != cy[None]) & (den * nx[:, None] >= num * ny[None]) & (den * ny[None] >= num * nx[:, None]))
+                gx, gy, fine = histogram(x, ex, rx), histogram(y, ey, ry), np.zeros(len(i), bool)
                 for lo in range(0, len(i), 16384):
                     p, q = i[lo : lo + 16384], j[lo : lo + 16384]
-                    most = np.minimum(gx[p], gy[q]).sum(1, dtype=np.int64)
-                    fine[lo : lo + 16384] = most >= least_overlap(nx[p], ny[q], ratio)
+                    reach = np.minimum(gx[p], gy[q]).sum(1, dtype=np.int64)
+                    fine[lo : lo + 16384] = reach >= least_overlap(nx[p], ny[q], ratio)
                 i, j = i[fine], j[fine]
                 a, b = np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        key = ["h", "i", "j"]
-        return rest.select(*columns).groupBy(*key).cogroup(every.select(*[F.col(c).alias(c) for c in columns]).groupBy(*key)).applyInArrow(compare, "a long, b long").distinct()
+        def side(t: DataFrame):
+            full = t.select(*key, "doc_id", "label").join(wide, "doc_id")
+            return full.select(*[F.col(c).alias(c) for c in (*key, "doc_id", "n", "label", "shared", "rest")]).groupBy(*key)
+
+        return side(rest).cogroup(side(every)).applyInArrow(compare, "a long, b long").distinct()
 
     def edges(self) -> DataFrame:
         """Links (a, b) between different sets that join all that can be joined: every link that is left out lies within
         a component of those given out."""
-        rows = materialise(self.prefixes(), "order")
+        rows = self.write(self.prefixes(), "order")
         found = [materialise(self.verified(self.rare_pairs(rows)), "links")]
-        lists = materialise(self.common_rows(rows), "lists")
-        if lists.isEmpty():
-            return found[0]
+        lists, wide = self.common_rows(rows)
+        if not lists.isEmpty():
+            found += self.common_links(lists, wide, found)
+        discard(*self.spent)
+        self.spent = []
+        return functools.reduce(DataFrame.unionByName, found)
+
+    def common_links(self, lists: DataFrame, wide: DataFrame, found: list[DataFrame]) -> list[DataFrame]:
+        """Tables of links (a, b) that common elements lead to, beside those found so far."""
+        more: list[DataFrame] = []
 
         def labels():
-            return materialise(connected_components(functools.reduce(DataFrame.unionByName, found)).select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "labels")
+            of = connected_components(functools.reduce(DataFrame.unionByName, found + more))
+            return self.write(of.select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "labels")
 
         for turn in range(2):
-            pairs = materialise(self.pivot_pairs(lists, labels(), turn), "pivots")
+            pairs = self.write(self.pivot_pairs(lists, labels(), turn), "pivots")
             if pairs.isEmpty():
                 break
-            new = materialise(self.verified(pairs), "links")
-            found.append(new)
-            if new.isEmpty():
+            more.append(materialise(self.verified(pairs), "links"))
+            if more[-1].isEmpty():
                 break
-        found.append(materialise(self.verified(self.common_pairs(lists, labels())), "links"))
-        return functools.reduce(DataFrame.unionByName, found)
+        more.append(materialise(self.verified(self.common_pairs(self.bundles(lists), wide, labels())), "links"))
+        return more
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, ratio: Ratio = (85, 100), crowd: int = 16, max_common: int = 1_000_000) -> DataFrame:

@@ -437,7 +437,7 @@ class Forest:
         return best[2]
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedding", trees: int = 8, leaf_rows: int = 128, sample_rows: int = 8192, recall: float = 0.96, block: int = 8192, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedding", trees: int = 8, leaf_rows: int = 128, sample_rows: int = 8192, recall: float = 0.97, block: int = 8192, seed: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row that the condition `queries` picks, its k nearest others found.
 
     Each dimension has a forest, fitted on a sample (sample_rows vectors at most for all dimensions, by the order of a

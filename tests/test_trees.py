@@ -211,6 +211,29 @@ def test_many_ignore_files(spark):
     assert filters.apply_ignore(files, rules.limit(0)).count() == 2000 and filters.apply_ignore(files.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("line, want", [
+    ("a.txt", (False, "a.txt")), ("/a.txt", (True, "a.txt")), ("!a/b c", (True, "a/b c")), ("**/a", (False, "a")), (r"\*x/", (False, "*x")),
+    ("*.o", None), ("a/**", None), ("**/a/b", None), ("[ab]", None), ("a?", None),
+])
+def test_lines_that_name_one_text(line, want):
+    assert filters.literal_of(filters.ignore_regex(line)[0]) == want
+
+
+def test_names_and_wildcards_of_ignore_files_together(spark):
+    paths = ["x/", "x/y/", "x/y/z.o", "x/a.o", "x/b.o", "a.o", "b.o", "x/top", "top", "d", "e/", "e/d/", "e/d/f"]
+    assert kept(spark, paths, [("", "*.o"), ("", "!a.o"), ("x", "a.o"), ("x/y", "!z.o"), ("", "/top"), ("", "d/")]) == {"x", "x/y", "x/y/z.o", "a.o", "x/top", "d", "e"}
+    assert kept(spark, paths, [("", "!a.o"), ("", "*.o"), ("", "!**/y/z.o"), ("x", "!*.o"), ("", "x/b.o")]) == {"x", "x/y", "x/y/z.o", "x/a.o", "x/b.o", "x/top", "top", "d", "e", "e/d", "e/d/f"}
+
+
+def test_many_lines_of_one_ignore_file(spark):
+    """A file's lines that name one text meet the rows by a join; each row tried each line before."""
+    files = spark.range(21_000).select(F.concat(F.lit("d/"), F.col("id").cast("string"), F.lit(".txt")).alias("path"))
+    rules = spark.range(21_000).select(F.lit("d").alias("folder"), "id", F.concat(F.when(F.col("id") % 3 == 0, "!").otherwise(""), F.col("id").cast("string"), F.lit(".txt")).alias("line")).withColumnRenamed("id", "idx")
+    out, began = filters.apply_ignore(files, rules), time.time()
+    assert out.count() == 7_000
+    assert time.time() - began < 120
+
+
 def test_ignore_files_of_a_tree(spark, root):
     (root / ".gitignore").write_text("*.o\n/top.txt\nempty/\n")
     (root / "b/.gitignore").write_text("!i.o\n")

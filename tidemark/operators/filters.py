@@ -162,28 +162,55 @@ def read_ignore_rules(tree: DataFrame, name: str = ".gitignore") -> DataFrame:
     return of.select(parent(F.col("path")).alias("folder"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("idx", "line"))
 
 
-def _ignore_rules(rules: DataFrame) -> DataFrame:
-    """Rows (folder, lines): each folder's rules, the last line first."""
+def literal_of(regex: str) -> tuple[bool, str] | None:
+    """(whether it counts from the folder, the text) of a regular expression of ignore_regex() that fits one text alone."""
+    body = regex.removeprefix("(?s)^").removesuffix("$")
+    anchored, body = not body.startswith("(?:.*/)?"), body.removeprefix("(?:.*/)?")
+    if not re.fullmatch(r"(?s)(?:\\.|[\w/ ])+", body) or (not anchored and "/" in body):
+        return None
+    return anchored, re.sub(r"(?s)\\(.)", r"\1", body)
+
+
+def _ignore_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (folder, lines): each folder's rules with wildcards, the last line first; and rows (scope, name, any, dir) for
+    the rules that name one text: what the last of them says of anything, or of directories, of that name below the scope. One
+    that counts from its folder has the whole path for a scope and no name."""
 
-    @F.pandas_udf("regex string, keep boolean, dirs_only boolean")
+    @F.pandas_udf("regex string, keep boolean, dirs_only boolean, anchored boolean, literal string")
     def parsed(lines: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ignore_regex(x or "") or (None, None, None) for x in lines], columns=["regex", "keep", "dirs_only"], dtype=object)
+        found = [ignore_regex(x or "") or (None, None, None) for x in lines]
+        return pd.DataFrame([(*x, *((x[0] and literal_of(x[0])) or (None, None))) for x in found], columns=["regex", "keep", "dirs_only", "anchored", "literal"], dtype=object)
 
     of = rules.select(F.regexp_replace("folder", "^/+|/+$", "").alias("folder"), "idx", parsed(F.col("line")).alias("r")).where("r.regex is not null")
     one = F.struct((-F.col("idx")).alias("nth"), "r.regex", "r.keep", "r.dirs_only")
-    return of.groupBy("folder").agg(F.sort_array(F.collect_list(one)).alias("lines"))
+    globs = of.where("r.literal is null").groupBy("folder").agg(F.sort_array(F.collect_list(one)).alias("lines"))
+    whole = F.when(F.col("folder") == "", F.col("r.literal")).otherwise(F.concat("folder", F.lit("/"), "r.literal"))
+    rank = F.struct((-F.length("folder")).alias("depth"), (-F.col("idx")).alias("nth"), "r.regex", "r.keep")
+    named = of.where("r.literal is not null").groupBy(F.when(F.col("r.anchored"), whole).otherwise(F.col("folder")).alias("scope"), F.when(F.col("r.anchored"), "").otherwise(F.col("r.literal")).alias("name"))
+    return globs, named.agg(F.min(F.when(~F.col("r.dirs_only"), rank)).alias("any"), F.min(rank).alias("dir"))
+
+
+def _named(df: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (path, is_dir, said) of those of df (path, is_dir) that a rule names: what the deepest, there the last, of these says."""
+    path = F.col("path")
+    scopes = F.concat(F.array(F.struct(F.lit("").alias("scope"), basename(path).alias("name"))), F.transform(ancestors(path), lambda a: F.struct(a.alias("scope"), basename(path).alias("name"))), F.array(F.struct(path.alias("scope"), F.lit("").alias("name"))))
+    keys = df.select("path", "is_dir", F.explode(scopes).alias("k")).select("path", "is_dir", "k.scope", "k.name")
+    met = keys.join(named, ["scope", "name"])
+    return met.groupBy("path", "is_dir").agg(F.min(F.when(F.col("is_dir"), F.col("dir")).otherwise(F.col("any"))).alias("said"))
 
 
-def _ignored(path: Column, is_dir: Column, chain: Column) -> Column:
-    """What the rules of the folders above say of a path: those of the deepest folder that has one for it, there the last."""
+def _ignored(path: Column, is_dir: Column, chain: Column, said: Column) -> Column:
+    """What the rules of the folders above say of a path: those of the deepest folder that has one for it, there the last.
+    chain are those with wildcards, said is what the others come to."""
 
     def of_folder(c):
         rest = F.when(c["folder"] == "", path).otherwise(F.substring(path, F.length(c["folder"]) + F.lit(2), F.length(path)))
         fits = F.filter(c["lines"], lambda x: (is_dir | ~x["dirs_only"]) & F.call_function("rlike", rest, x["regex"]))
-        return F.get(fits, F.lit(0))["keep"]
+        first = F.get(fits, F.lit(0))
+        return F.when(first.isNotNull(), F.struct(c["nth"].alias("depth"), first["nth"].alias("nth"), first["regex"].alias("regex"), first["keep"].alias("keep")))
 
-    said = F.filter(F.transform(chain, of_folder), lambda k: k.isNotNull())
-    return ~F.coalesce(F.get(said, F.lit(0)), F.lit(True))
+    globbed = F.get(F.filter(F.transform(chain, of_folder), lambda k: k.isNotNull()), F.lit(0))
+    return ~F.coalesce(F.least(globbed, said)["keep"], F.lit(True))
 
 
 def apply_ignore(df: DataFrame, rules: DataFrame | list[tuple[str, str]]) -> DataFrame:
@@ -194,14 +221,15 @@ def apply_ignore(df: DataFrame, rules: DataFrame | list[tuple[str, str]]) -> Dat
     matching one; `!` takes back in. A directory that is ignored is not entered, so that nothing below it comes back, whatever
     other lines say; `.git` is never entered. Without a column is_dir all rows are files.
 
-    Directories, the rows' own and all above them, are decided first: each folder's rules are one row, met by a join with
-    the directories below. Rows then meet their parent directory once, with the rules that hold in it. So the number of rules
-    adds rows to a join and nothing to the plan.
+    Directories, the rows' own and all above them, are decided first: each folder's rules with wildcards are one row, met by a
+    join with the directories below. Rows then meet their parent directory once, with the rules that hold in it. A rule that
+    names one text is met by a join on that, however many a folder has; only wildcards are tried one by one. So the number
+    of rules adds rows to joins and nothing to the plan.
     """
     spark = df.sparkSession
     if isinstance(rules, list):
         rules = spark.createDataFrame([(f, i, x) for i, (f, x) in enumerate(rules)], "folder string, idx int, line string")
-    of_folder = _ignore_rules(rules)
+    of_folder, named = _ignore_rules(rules)
     is_dir = F.coalesce(F.col("is_dir"), F.lit(False)) if "is_dir" in df.columns else F.lit(False)
     above = ancestors(F.col("path"))
     found = df.select(F.explode(F.concat(F.array(F.lit("")), above, F.when(is_dir, F.array("path")).otherwise(F.array().cast("array<string>")))).alias("dir")).distinct()
@@ -211,9 +239,11 @@ def apply_ignore(df: DataFrame, rules: DataFrame | list[tuple[str, str]]) -> Dat
     held = F.collect_list(F.when(F.col("lines").isNotNull(), F.struct((-F.length("folder")).alias("nth"), "folder", "lines")))
     dirs = stored(met.groupBy("dir").agg(F.sort_array(held).alias("chain")))
     own = F.filter("chain", lambda c: c["folder"] != F.col("dir"))
-    shut = dirs.where((F.col("dir") != "") & ((basename(F.col("dir")) == ".git") | _ignored(F.col("dir"), F.lit(True), own))).select(F.col("dir").alias("shut"))
+    told = _named(dirs.where("dir <> ''").select(F.col("dir").alias("path"), F.lit(True).alias("is_dir")), named).select(F.col("path").alias("dir"), "said")
+    shut = dirs.join(told, "dir", "left").where((F.col("dir") != "") & ((basename(F.col("dir")) == ".git") | _ignored(F.col("dir"), F.lit(True), own, F.col("said")))).select(F.col("dir").alias("shut"))
     below = dirs.select("dir", F.explode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("shut")).join(shut, "shut", "left_semi").select("dir").distinct()
     open_dirs = dirs.join(below, "dir", "left_anti").select(F.col("dir").alias("__dir"), F.col("chain").alias("__chain"))
-    j = df.join(open_dirs, parent(F.col("path")) == F.col("__dir"))
-    seen = ~_ignored(F.col("path"), is_dir, F.col("__chain")) & (basename(F.col("path")) != ".git")
+    told = _named(df.select("path", is_dir.alias("is_dir")), named).select(F.col("path").alias("__path"), F.col("is_dir").alias("__is_dir"), F.col("said").alias("__said"))
+    j = df.join(open_dirs, parent(F.col("path")) == F.col("__dir")).join(told, (F.col("path") == F.col("__path")) & (is_dir == F.col("__is_dir")), "left")
+    seen = ~_ignored(F.col("path"), is_dir, F.col("__chain"), F.col("__said")) & (basename(F.col("path")) != ".git")
     return j.where(seen).select(*df.columns)

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tidemark.operators import blocks, pieces
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import snapshots
 
 
@@ -153,3 +154,30 @@ def test_a_run_by_strategy(spark):
     saved = summaries.savings(results).first()
     assert saved.delta_saved == sum(x.bytes_written - x.literal_bytes for x in got.values()) > 45_000 and saved.compression_saved > saved.delta_saved
     assert summaries.error_rows(results).isEmpty() and summaries.error_threshold(results.withColumn("error", F.lit("x")), 3).first()["abort"]
+
+
+def test_matches_come_in_one_row_a_piece(spark, monkeypatch):
+    """Also where the pieces of a source are more than share a row of the base's blocks."""
+    monkeypatch.setattr(pieces, "GROUP", 2)
+    of = contents(5)
+    kind = "path string, content binary"
+    src = pieces.pieces(spark.createDataFrame([(p, s) for p, (s, _) in of.items() if s is not None], kind), 96, 31)
+    base = pieces.pieces(spark.createDataFrame([(p, d) for p, (_, d) in of.items() if d is not None], kind), 96)
+    assert sorted(pieces.matches(src, base, 32).select("path", "no").collect()) == sorted(src.select("path", "no").collect())
+    got = {}
+    for r in sorted(pieces.rolling_delta(src, base, 32).collect(), key=lambda r: (r.path, r.at)):
+        got.setdefault(r.path, []).append((r.op, r.off, r.size, bytes(r.data) if r.data is not None else None))
+    assert {p: joined(o) for p, o in got.items()} == {p: list(blocks.delta(s, d or b"", 32)) for p, (s, d) in of.items() if s}
+
+
+def test_operations_are_made_once(spark, sf_dir):
+    """The round trip reads what the operations are from one stored table; they were made three times before."""
+    plan = QUERIES["delta_roundtrip"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 3
+
+
+def test_copies_that_follow_one_another_are_one(spark):
+    rows = [("a", 0, "copy", 32, 32, None), ("a", 32, "copy", 64, 32, None), ("a", 64, "copy", 0, 32, None), ("a", 96, "data", 96, 1, b"x"), ("a", 97, "copy", 32, 32, None), ("b", 129, "copy", 64, 32, None)]
+    got = pieces.joined_copies(spark.createDataFrame(rows, pieces.OPS).coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 32, 64), ("a", 64, 0, 32), ("a", 97, 32, 32), ("b", 129, 64, 32)]
+    assert pieces.joined_copies(spark.createDataFrame(rows[3:4], pieces.OPS)).count() == 0

@@ -181,3 +181,12 @@ def test_copies_that_follow_one_another_are_one(spark):
     got = pieces.joined_copies(spark.createDataFrame(rows, pieces.OPS).coalesce(1)).collect()
     assert sorted(map(tuple, got)) == [("a", 0, 32, 64), ("a", 64, 0, 32), ("a", 97, 32, 32), ("b", 129, 64, 32)]
     assert pieces.joined_copies(spark.createDataFrame(rows[3:4], pieces.OPS)).count() == 0
+
+
+def test_groups_that_a_caller_knows(spark):
+    kind = "path string, content binary"
+    src = pieces.pieces(spark.createDataFrame([("a", b"x" * 40 + b"y" * 64), ("b", b"z" * 10)], kind), 64, 31)
+    base = pieces.pieces(spark.createDataFrame([("a", b"y" * 64)], kind), 64)
+    groups = spark.createDataFrame([("a", 0), ("b", 0)], "path string, group long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(pieces.matches(src, base, 32, groups)) == rows(pieces.matches(src, base, 32))

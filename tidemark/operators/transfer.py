@@ -77,7 +77,8 @@ def transfer(src: DataFrame, dst: DataFrame, plan: DataFrame, width: int = 512,
     going = lambda strategy: src.join(routed.where(F.col("strategy") == strategy).select("path"), "path", "left_semi")
     base = pieces.pieces(dst.join(routed.where("strategy = 'delta'").select("path"), "path", "left_semi"), piece)
     whole = pieces.pieces(going("full"), piece).select("path", F.col("off").alias("at"), F.lit("data").alias("op"), "off", "size", "data")
-    delta = pieces.rolling_delta(pieces.pieces(going("delta"), piece, width - 1), base, width)
+    groups = routed.where("strategy = 'delta' and size > 0").select("path", F.explode(F.expr(f"sequence(0L, (size - 1) div {piece * pieces.GROUP})")).alias("group"))
+    delta = pieces.rolling_delta(pieces.pieces(going("delta"), piece, width - 1), base, width, groups)
     ops = stored(whole.unionByName(regions(pieces.pieces(going("sparse"), piece))).unionByName(delta))
     made = stored(pieces.apply_delta(base, ops, piece, routed.select("path", F.col("size").alias("n"))))
     probe = F.lit(None).cast("double")

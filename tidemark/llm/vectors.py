@@ -352,9 +352,15 @@ class Forest:
     def trees(self) -> int:
         return len(self.cut)
 
-    def keep(self, trees: int) -> None:
+    def keep(self, trees: int, depth: int | None = None) -> None:
+        """Only so many trees, cut off below so many levels."""
         for name in ("planes", "cut", "under", "under_cut"):
             setattr(self, name, getattr(self, name)[:trees])
+        if depth is not None and depth < self.top + self.deep:
+            self.deep, self.top = max(0, depth - self.top), min(depth, self.top)
+            nodes = (1 << self.top) - 1
+            self.planes, self.cut, self.under = self.planes[:, :nodes], self.cut[:, :nodes], self.under[:, : self.deep]
+            self.under_cut = self.under_cut[:, : self.deep] if self.deep else np.zeros((trees, 0, 1 << self.top))
 
     def ways(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(node at every level, whether the way turns right there) of unit rows in a tree; the deeper levels have the
@@ -406,11 +412,15 @@ class Forest:
             out.append(turns + (t << 48))
         return out
 
-    def calibrate(self, sample: np.ndarray, k: int, recall: float, queries: int = 100) -> float:
+    def calibrate(self, sample: np.ndarray, k: int, recall: float, queries: int = 100, leaves: int = 32) -> float:
         """Keep the number of trees with the least to compare, and return how bad a turn may be, as a share of the distance
-        to the k-th nearest, so that within the sample the leaves found hold that share of the true k nearest."""
-        n = len(sample)
-        if n <= k + 1 or not self.top + self.deep:
+        to the k-th nearest, so that within the sample the leaves found hold that share of the true k nearest.
+
+        Trees are cut off where a query would go to more than `leaves` leaves in all, as estimated by the share of the sample
+        that it sees: where vectors have no structure, that share hardly falls with the depth, and deeper leaves would only be
+        more of them, in proportion to the table. Their rows are all compared either way."""
+        n, depth = len(sample), self.top + self.deep
+        if n <= k + 1 or not depth:
             self.keep(min(self.trees, 2))
             return math.inf
         asked = np.arange(0, n, max(1, n // queries))
@@ -418,22 +428,30 @@ class Forest:
         sims[np.arange(len(asked)), asked] = -2
         true = np.argpartition(-sims, k, axis=1)[:, :k]
         far = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, true, 1).min(1), 1e-12))
-        worst = np.empty((self.trees, len(asked), n), np.float32)
-        for t in range(self.trees):
-            nodes, turns = self.ways(sample, t)
-            for r, i in enumerate(asked):
-                top = (self.planes[t] @ sample[i] - self.cut[t])[nodes[:, : self.top]]
-                under = (self.under[t] @ sample[i])[None] - self.under_cut[t].T[nodes[:, -1]] if self.deep else np.empty((n, 0))
-                side = np.concatenate([top, under], 1)
-                worst[t, r] = np.where((side > 0) != turns, np.abs(side), 0).max(1) / far[r]
+        worst = np.zeros((self.trees, len(asked), n), np.float32)
+        at = [self.ways(sample, t) for t in range(self.trees)]
         best = None
-        for trees in (x for x in (2, 4, 8, 16) if x <= self.trees):
-            needed = np.take_along_axis(worst[:trees].min(0), true, 1)
-            share = float(np.quantile(needed, recall, method="higher"))
-            cost = float((worst[:trees] <= share).sum(2).mean(1).sum())
-            if best is None or cost < best[0]:
-                best = cost, trees, share
-        self.keep(best[1])
+        for level in range(depth):
+            for t, (nodes, turns) in enumerate(at):
+                for r, i in enumerate(asked):
+                    if level < self.top:
+                        of = slice((1 << level) - 1, (2 << level) - 1)
+                        side = (self.planes[t, of] @ sample[i] - self.cut[t, of])[nodes[:, level] - of.start]
+                    else:
+                        side = self.under[t, level - self.top] @ sample[i] - self.under_cut[t, level - self.top][nodes[:, level]]
+                    np.maximum(worst[t, r], np.where((side > 0) != turns[:, level], np.abs(side) / far[r], 0), out=worst[t, r])
+            here = None
+            for trees in (x for x in (2, 4, 8, 16) if x <= self.trees):
+                needed = np.take_along_axis(worst[:trees].min(0), true, 1)
+                share = float(np.quantile(needed, recall, method="higher"))
+                seen = float((worst[:trees] <= share).mean((1, 2)).sum())
+                if (level < 2 or seen * (2 << level) <= leaves) and (here is None or seen < here[0]):
+                    here = seen, trees, share, level + 1
+            if here is None:
+                break
+            if best is None or level < 2 or here[0] <= 1.05 * best[0]:
+                best = here
+        self.keep(best[1], best[3])
         return best[2]
 
 
@@ -441,7 +459,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embe
     """Rows (query_id, rank, vec_id, score): for each row that the condition `queries` picks, its k nearest others found.
 
     Each dimension has a forest, fitted on a sample (sample_rows vectors at most for all dimensions, by the order of a
-    hash) and as deep as the number of its vectors asks for. Every vector is put into its leaf in every tree. A query first
+    hash) and as deep as the number of its vectors asks for, unless a query would then go to very many leaves (Forest.calibrate). Every vector is put into its leaf in every tree. A query first
     goes to its four best leaves a tree, which gives a distance to its k-th best; then to all further leaves within
     that distance times a share, the least share that finds `recall` of the true neighbours within the sample. With fewer
     than k found in the first leaves, all others are gone to; what is further than the distance to the k-th is not given out
